@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import quality, urlrules
+from tarnlake.llm import mixing, quality, secrets, urlrules
 
 QUERIES = {
+    "op3_source_mixing": mixing.op3,
     "op8_quality_gam": quality.op8,
+    "op9_secret_scan": secrets.op9,
     "op10_url_rules": urlrules.op10,
 }
 ORACLES = {
+    "op9_secret_scan": secrets.ORACLE,
     "op10_url_rules": urlrules.ORACLE,
 }
