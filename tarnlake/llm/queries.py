@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import mixing, quality, secrets, urlrules
+from tarnlake.llm import bpe, mixing, quality, secrets, substring, urlrules
 
 QUERIES = {
     "op3_source_mixing": mixing.op3,
+    "op6_byte_bpe": bpe.op6,
+    "op7_substring_dedup": substring.op7,
     "op8_quality_gam": quality.op8,
     "op9_secret_scan": secrets.op9,
     "op10_url_rules": urlrules.op10,
 }
 ORACLES = {
+    "op7_substring_dedup": substring.ORACLE,
     "op9_secret_scan": secrets.ORACLE,
     "op10_url_rules": urlrules.ORACLE,
 }
