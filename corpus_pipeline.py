@@ -1,10 +1,55 @@
-"""A corpus pipeline over documents: each stage gets what its predecessor kept."""
+"""A corpus pipeline over documents, each stage working on all that its predecessor kept.
+
+Quality classifier (rejected documents go), MinHash near-dedup (one document of each group stays), secret scan
+(spans are replaced in the text), mixing (documents are repeated or left out to meet source targets), byte-level
+BPE (ids in place of the text). Stages 1 to 4 return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tarnlake.llm import bpe, mixing, neardup, quality, secrets
+from tarnlake.llm.common import stash, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.first_of_each(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_gam", quality_stage),
+    ("minhash_tensored", near_dedup_stage),
+    ("secret_scan", secrets_stage),
+    ("source_mixing", mixing_stage),
+    ("byte_bpe", bpe_stage),
+]
+#: The classifier, the hash-based rounding and the merges have no SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stash(docs, f"stage-{name}")
+    return docs

@@ -278,8 +278,12 @@ def encoder(name: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
 
 
 def tokenize(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """The rows of docs with `ids` (array of int) and `decoded` (binary: the ids decoded again)."""
-    return _coded(docs, ranks_path, pattern, ["ids array<int>", "decoded binary"], lambda ids, raw: [pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array(raw, pa.binary())])
+    """The rows of docs with n_tokens, `ids` (array of int) and decoded_sha256 in place of the text."""
+
+    def columns(ids, raw):
+        return [pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([hashlib.sha256(b).hexdigest() for b in raw], pa.string())]
+
+    return _coded(docs, ranks_path, pattern, ["n_tokens long", "ids array<int>", "decoded_sha256 string"], columns)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -287,7 +291,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def columns(ids, raw):
         sha = [hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids]
-        return [pa.array([len(i) for i in ids], pa.int64()), pa.array(sha), pa.array([hashlib.sha256(b).hexdigest() for b in raw])]
+        return [pa.array([len(i) for i in ids], pa.int64()), pa.array(sha, pa.string()), pa.array([hashlib.sha256(b).hexdigest() for b in raw], pa.string())]
 
     return _coded(docs, ranks_path, pattern, ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"], columns)
 

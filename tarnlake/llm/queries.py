@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import bpe, mixing, quality, secrets, substring, urlrules
+from tarnlake.llm import bpe, mixing, neardup, quality, secrets, substring, urlrules
 
 QUERIES = {
     "op3_source_mixing": mixing.op3,
+    "op5_minhash_tensored": neardup.op5,
     "op6_byte_bpe": bpe.op6,
     "op7_substring_dedup": substring.op7,
     "op8_quality_gam": quality.op8,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_url_rules": urlrules.op10,
 }
 ORACLES = {
+    "op5_minhash_tensored": neardup.ORACLE,
     "op7_substring_dedup": substring.ORACLE,
     "op9_secret_scan": secrets.ORACLE,
     "op10_url_rules": urlrules.ORACLE,
