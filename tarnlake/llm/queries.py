@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import bpe, hnsw, lattice, mixing, neardup, quality, secrets, substring, urlrules
+from tarnlake.llm import bpe, ctw, hnsw, lattice, mixing, neardup, quality, secrets, substring, urlrules
 
 QUERIES = {
+    "op1_ctw": ctw.op1,
     "op2_hnsw": hnsw.op2,
     "op3_source_mixing": mixing.op3,
     "op4_lattice_neardup": lattice.op4,
