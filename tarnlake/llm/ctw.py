@@ -8,11 +8,13 @@ weighted by its share KT / (2 P) of its subtree's probability. The sum over a te
 (byte 0xFF, which UTF-8 never has) is the log10 probability of the text; contexts begin with zero bytes.
 Texts are scored with A-Z lower-cased, as are the tokens of the unigram base.
 
-How it is spread: a byte with its context is one number, so the tree is built from counts of (DEPTH + 1)-grams,
-grouped by the last two context bytes; depths 0 and 1 have at most 256 * 255 nodes and are small tables. Texts
-are dealt into chunks of about `chunk_bytes`; a chunk asks for the values of the distinct words and grams it
-holds, and the answers are joined to it by chunk. No vocabulary is broadcast or collected, and a frequent word
-has one row per chunk at most.
+How it is spread: a byte with its context is one number, so the tree is built from counts of (DEPTH + 1)-grams.
+Texts are dealt into chunks of about `chunk_bytes`. A chunk asks for the values of the distinct words and grams
+it holds: it sends sorted arrays of keys with its own counts to buckets of the key space (all grams with the
+same last two context bytes are in one bucket). A bucket adds up what the chunks counted, works out the values,
+and answers each chunk with arrays in the same form. Only depths 0 and 1, at most 256 * 256 nodes, and two
+totals pass through the driver. No vocabulary is broadcast or collected, and a frequent word or gram has one
+entry per chunk at most.
 
 Words are told apart by 63-bit hashes. Defined results: a null text is empty (one end token); a null id is not
 held out; repeated rows are trained on and scored each; without training texts N and V are 0 and the model
@@ -27,23 +29,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tarnlake.llm.common import crc_mod, stash, table
 from tarnlake.llm.lattice import runs_of
 from tarnlake.llm.textscan import LOWER, U, Words, pieces, texts
 
-DEPTH = 4
+DEPTH = 5
 CHUNK_BYTES = 16 << 20
 LEAST_CHUNKS = 32
-_END_TOKEN = np.int64(np.iinfo(np.int64).min)
-_BELOW_ZERO = U(1 << 63)
+#: Bytes of text for each bucket of words and each of grams.
+BUCKET_BYTES = 4 << 20
+_END_TOKEN = 0
+_WORD_BITS = 63
+#: The last two context bytes times this, mod 2**16, are a gram's bucket bits: frequent pairs lie apart.
+_SPREAD = 40503
 
 
 def word_keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys below zero of the words and the end token of each text, and where each text's begin (one more entry)."""
+    """63-bit keys of the words and the end token of each text, and where each text's begin (one more entry)."""
     w = Words(buf, offs)
-    keys = (w.hashes() | _BELOW_ZERO | U(1)).view(np.int64)
+    keys = ((w.hashes() >> U(1)) | U(1)).view(np.int64)
     first = w.first + np.arange(len(w.first))
     out = np.full(first[-1], _END_TOKEN, np.int64)
     inside = np.ones(len(out), bool)
@@ -62,8 +67,13 @@ def gram_keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = offs[1:] + pad * np.arange(1, n + 1) - 1
     wide[ends] = 255
     code = np.zeros(len(wide), np.int64)
-    for k in range(DEPTH + 1):
-        code[k:] |= wide[: len(wide) - k] << (8 * k)
+    for k in range(3, DEPTH + 1):  # the bytes before the last two, the oldest in front
+        code[k:] |= wide[: len(wide) - k] << (8 * (k - 2))
+    code |= wide
+    pair = np.zeros(len(wide), np.int64)
+    pair[1:] = wide[:-1]
+    pair[2:] |= wide[:-2] << 8
+    code |= (pair * _SPREAD & 0xFFFF) << (8 * (DEPTH - 1))
     real = np.ones(len(wide), bool)
     starts = offs[:-1] + pad * np.arange(n)
     for k in range(DEPTH):
@@ -71,47 +81,57 @@ def gram_keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code[real], offs + np.arange(n + 1)
 
 
-def _asked(kind):
-    """Per chunk its distinct keys with how often training texts of the chunk have them."""
+_KINDS = ((word_keys, _WORD_BITS), (gram_keys, 8 * (DEPTH + 1)))
+_ASKED = "chunk int, bucket int, keys binary, counts binary"
 
-    def run(batches):
-        def flat(sorted_batches):
-            for batch in sorted_batches:
-                yield from pieces(batch)
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        chunk = None
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of several lists, and their counts added up."""
+    keys, counts = (np.concatenate([h[k] for h in held]) for k in range(2))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
+def _asked(bits: int):
+    """Per chunk and bucket (2**bits of words, then as many of grams) its distinct keys with how often training texts of the chunk have them."""
+
+    def rows(chunk, held):
+        out = []
+        for kind, (_, width) in enumerate(_KINDS):
+            keys, counts = _merged(held[kind])
+            cuts = np.searchsorted(keys, np.arange(1, 1 << bits) << (width - bits))
+            for bucket, (k, n) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)):
+                if len(k):
+                    out.append((int(chunk), bucket + (kind << bits), k.tobytes(), n.astype(np.int64).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "bucket", "keys", "counts"])
 
-        def merged():
-            keys, counts = (np.concatenate([h[k] for h in held]) for k in range(2))
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            return keys[at], np.add.reduceat(counts, at)
-
-        def done():
-            keys, counts = merged()
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk, np.int32)), pa.array(keys), pa.array(counts)], names=["chunk", "key", "n"])
-
-        for piece in flat(batches):
-            chunks = np.asarray(piece.column("chunk"))
-            cuts = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                part = piece.slice(a, b - a)
-                if held and chunks[a] != chunk:
-                    yield done()
-                chunk = chunks[a]
-                buf, offs = texts(part.column("text"))
-                keys, first = kind(LOWER[buf], offs)
-                learnt = np.repeat(part.column("train").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-                held.append(np.unique(keys[learnt], return_counts=True))
-                other = np.unique(keys[~learnt])
-                held.append((other, np.zeros(len(other), np.int64)))
-                if len(held) > 32:
-                    held[:] = [merged()]
-        if held:
-            yield done()
+    def run(batches):
+        held: tuple[list, list] = ([], [])
+        chunk = None
+        for batch in batches:
+            for piece in pieces(batch):
+                chunks = np.asarray(piece.column("chunk"))
+                cuts = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    part = piece.slice(a, b - a)
+                    if held[0] and chunks[a] != chunk:
+                        yield rows(chunk, held)
+                        held = ([], [])
+                    chunk = chunks[a]
+                    buf, offs = texts(part.column("text"))
+                    low = LOWER[buf]
+                    train = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
+                    for mine, (kind, _) in zip(held, _KINDS, strict=True):
+                        keys, first = kind(low, offs)
+                        learnt = np.repeat(train, np.diff(first))
+                        other = np.unique(keys[~learnt])
+                        mine += [np.unique(keys[learnt], return_counts=True), (other, np.zeros(len(other), np.int64))]
+                        if len(mine) > 32:
+                            mine[:] = [_merged(mine)]
+        if held[0]:
+            yield rows(chunk, held)
 
     return run
 
@@ -129,6 +149,10 @@ def kt_log(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - math.log(math.pi)
 
 
+def _shorter(context: np.ndarray, extra: int) -> np.ndarray:
+    return context >> (8 * extra) << (8 * extra - 8) | context & ((1 << (8 * extra - 8)) - 1)
+
+
 class Layer:
     """Nodes of one depth: sorted keys (context * 256 + binary node), counts, ln KT and ln P."""
 
@@ -137,10 +161,9 @@ class Layer:
         self.kt = kt_log(n0, n1)
         self.p = self.kt if below is None else np.logaddexp(self.kt, below) - math.log(2)
 
-    def up(self, shift: int) -> Layer:
-        """The layer of contexts one byte shorter; shift: bits of what remains of a context."""
-        parent = ((self.key >> 8) & ((1 << shift) - 1)) << 8 | (self.key & 255)
-        key, at = np.unique(parent, return_inverse=True)
+    def up(self, extra: int) -> Layer:
+        """The layer of contexts without their oldest byte, the highest of `extra` ones below the rest of the key's context."""
+        key, at = np.unique(_shorter(self.key >> 8, extra) << 8 | (self.key & 255), return_inverse=True)
         add = lambda v: np.bincount(at, v, len(key))
         return Layer(key, add(self.n0), add(self.n1), add(self.p))
 
@@ -154,105 +177,123 @@ class Layer:
         return share * own + (1 - share) * deeper
 
 
-def _group_layers(code: np.ndarray, n: np.ndarray) -> tuple[list[Layer], np.ndarray, np.ndarray, np.ndarray]:
-    """Layers of depths DEPTH to 2 under one pair of last context bytes; node, bit and context of the grams' decisions."""
+def _layers(code: np.ndarray, n: np.ndarray) -> tuple[list[Layer], np.ndarray, np.ndarray, np.ndarray]:
+    """Layers of depths DEPTH to 2 of a bucket's grams; node, bit and context of each gram's decisions."""
     x = code & 255
     j = np.arange(8)
     node = (1 << j) | (x[:, None] >> (8 - j))
     bit = (x[:, None] >> (7 - j)) & 1
-    context = code >> 24  # the bytes before the last two
-    key = (context[:, None] << 8 | node).ravel()
-    keys, at = np.unique(key, return_inverse=True)
+    context = code >> 8
+    keys, at = np.unique((context[:, None] << 8 | node).ravel(), return_inverse=True)
     weight = np.repeat(n.astype(float), 8)
     flat = bit.ravel()
     layers = [Layer(keys, np.bincount(at, weight * (flat == 0), len(keys)), np.bincount(at, weight * flat, len(keys)), None)]
-    for depth in range(DEPTH - 1, 1, -1):
-        layers.append(layers[-1].up(8 * (depth - 2)))
+    for extra in range(DEPTH - 2, 0, -1):
+        layers.append(layers[-1].up(extra))
     return layers, node, bit, context
 
 
-def _tops(batches):
-    """For each pair of last context bytes its 255 nodes' counts and ln P at depth 2."""
-    for group in runs_of(batches, ["pair"]):
-        layers, *_ = _group_layers(np.asarray(group.column("key")), np.asarray(group.column("n")))
-        top = layers[-1]
-        pair = group.column("pair")[0].as_py()
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top.key), pair & 255, np.int32)), pa.array((top.key & 255).astype(np.int32)), *(pa.array(v) for v in (top.n0, top.n1, top.p))], names=["c", "node", "n0", "n1", "p"])
+def _last_byte(pair: np.ndarray) -> np.ndarray:
+    return pair * pow(_SPREAD, -1, 1 << 16) & 255
+
 
+def _group(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The keys that each chunk asks of a bucket; all of them with their totals."""
+    asked = [np.frombuffer(k.as_py(), np.int64) for k in group.column("keys")]
+    return asked, *_merged([(k, np.frombuffer(n.as_py(), np.int64)) for k, n in zip(asked, group.column("counts"), strict=True)])
 
-def _gram_values(top: tuple[Layer, Layer]):
-    """log10 of each gram's last byte given its context."""
+
+def _totals(bits: int):
+    """From gram buckets the counts and ln P of depth 2 by last byte and node; from word buckets (c = -1) the sum and number of counts."""
 
     def run(batches):
-        one, none = top
-        for group in runs_of(batches, ["pair"]):
-            code = np.asarray(group.column("key"))
-            layers, node, bit, context = _group_layers(code, np.asarray(group.column("n")))
-            p = None
-            for k, layer in enumerate(layers):
-                part = context & ((1 << (8 * (DEPTH - 2 - k))) - 1)
-                p = layer.mixed((part[:, None] << 8 | node).ravel(), bit.ravel(), p)
-            last = (code >> 8) & 255
-            p = one.mixed((last[:, None] << 8 | node).ravel(), bit.ravel(), p)
-            p = none.mixed(node.ravel(), bit.ravel(), p)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.log10(p).reshape(-1, 8).sum(1))], names=["key", "value"])
+        for group in runs_of(batches, ["bucket"]):
+            _, keys, n = _group(group)
+            if group.column("bucket")[0].as_py() >> bits:
+                layer = _layers(keys, n)[0][-1]
+                columns = [_last_byte(layer.key >> 8), layer.key & 255, layer.n0, layer.n1, layer.p]
+            else:
+                columns = [np.array([v]) for v in (-1, 0, n.sum(), (n > 0).sum(), 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(v.astype(t)) for v, t in zip(columns, (np.int32, np.int32, float, float, float), strict=True)], names=["c", "node", "n0", "n1", "p"])
 
     return run
 
 
-def _scores(n_all: int, n_distinct: int):
+_ANSWERS = "chunk int, bucket int, keys binary, answers binary"
+
+
+def _answers(bits: int, one: Layer, none: Layer):
+    """Each chunk's keys again, with the words' totals and log10 of the grams' last bytes given their contexts."""
+
+    def run(batches):
+        for group in runs_of(batches, ["bucket"]):
+            asked, keys, n = _group(group)
+            value = n.astype(float)
+            if group.column("bucket")[0].as_py() >> bits:
+                layers, node, bit, context = _layers(keys, n)
+                p = None
+                for k, layer in enumerate(layers):
+                    p = layer.mixed((context[:, None] << 8 | node).ravel(), bit.ravel(), p)
+                    if k < len(layers) - 1:
+                        context = _shorter(context, DEPTH - 2 - k)
+                p = one.mixed((_last_byte(context)[:, None] << 8 | node).ravel(), bit.ravel(), p)
+                p = none.mixed(node.ravel(), bit.ravel(), p)
+                value = np.log10(p).reshape(-1, 8).sum(1)
+            yield pa.RecordBatch.from_arrays([group.column(c).combine_chunks() for c in ("chunk", "bucket", "keys")] + [pa.array([value[np.searchsorted(keys, k)].tobytes() for k in asked], pa.binary())], names=["chunk", "bucket", "keys", "answers"])
+
+    return run
+
+
+def _scores(bits: int, n_all: int, n_distinct: int):
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+
+    def joined(rows: pa.Table, column: str, kind) -> np.ndarray:
+        return np.concatenate([np.frombuffer(v.as_py(), kind) for v in rows.column(column)] or [np.zeros(0, kind)])
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]
+        right = right.sort_by("bucket")  # keys are then in order within words and within grams
+        side = np.asarray(right.column("bucket").combine_chunks()) >> bits
+        (words_at, counts), (grams_at, logs) = ((joined(rows, "keys", np.int64), joined(rows, "answers", np.float64)) for rows in (right.filter(pa.array(side == k)) for k in range(2)))
         out = []
-        key, value = np.asarray(right.column("key")), np.asarray(right.column("value"))
-        order = np.argsort(key)
-        key, value = key[order], value[order]
         for batch in left.to_batches():
             for piece in pieces(batch):
                 buf, offs = texts(piece.column("text"))
                 low = LOWER[buf]
                 words, first = word_keys(low, offs)
-                count = value[np.searchsorted(key, words)]
+                count = counts[np.searchsorted(words_at, words)]
                 base = np.add.reduceat(np.log10(count + 1) - math.log10(n_all + n_distinct + 1), first[:-1])
                 known = np.add.reduceat((count > 0).astype(np.int64), first[:-1])
                 grams, start = gram_keys(low, offs)
-                score = np.add.reduceat(value[np.searchsorted(key, grams)], start[:-1])
-                n = piece.num_rows
-                out.append(pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(n, n_all, np.int64)), pa.array(base), pa.array(score), pa.array(np.diff(offs))], names=names))
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+                total = np.add.reduceat(logs[np.searchsorted(grams_at, grams)], start[:-1])
+                columns = [piece.column("doc_id"), piece.column("held_out"), np.diff(first), known, np.full(piece.num_rows, n_all), base, total, np.diff(offs)]
+                out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names))
         return pa.Table.from_batches(out) if out else pa.table([pa.array([], t) for t in types], names=names)
 
     return run
 
 
-def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(LEAST_CHUNKS, -(-total // chunk_bytes))
+    bits = max(5, int(-(-total // bucket_bytes)).bit_length())
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
     dealt = rows.repartition("chunk")
     learnt = dealt.withColumn("train", ~F.col("held_out")).sortWithinPartitions("chunk").select("chunk", "train", "text")
-    schema = "chunk int, key long, n long"
-    by_key = Window.partitionBy("key")
-    words = learnt.mapInArrow(_asked(word_keys), schema).withColumns({"value": F.sum("n").over(by_key), "first": F.row_number().over(by_key.orderBy("chunk")) == 1})
-    words = stash(words, "word-counts")
-    n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("first") & (F.col("value") > 0))).first()
-    asked = stash(learnt.mapInArrow(_asked(gram_keys), schema), "grams")
-    grams = asked.groupBy("key").agg(F.sum("n").alias("n")).withColumn("pair", F.col("key").bitwiseAND(0xFFFF00) / 256)
-    grams = stash(grams.withColumn("pair", F.col("pair").cast("int")).repartition("pair").sortWithinPartitions("pair"), "gram-counts")
-    paired = grams.repartition("pair").sortWithinPartitions("pair").select("key", "n", "pair")
-    tops = paired.mapInArrow(_tops, "c int, node int, n0 double, n1 double, p double")
-    one = tops.groupBy("c", "node").agg(*(F.sum(v).alias(v) for v in ("n0", "n1", "p"))).toPandas()  # at most 256 * 255 rows
-    key = one["c"].to_numpy(dtype=np.int64) << 8 | one["node"].to_numpy(dtype=np.int64)
-    order = np.argsort(key)
-    depth1 = Layer(key[order], *(one[v].to_numpy(dtype=float)[order] for v in ("n0", "n1", "p")))
-    values = paired.mapInArrow(_gram_values((depth1, depth1.up(0))), "key long, value double")
-    answers = asked.select("chunk", "key").join(values, "key").select("chunk", "key", "value").union(words.select("chunk", "key", F.col("value").cast("double")))
+    asked = stash(learnt.mapInArrow(_asked(bits), _ASKED), "asked")
+    by_bucket = asked.repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    sums = by_bucket.mapInArrow(_totals(bits), "c int, node int, n0 double, n1 double, p double")
+    got = sums.groupBy("c", "node").agg(*(F.sum(v).alias(v) for v in ("n0", "n1", "p"))).toPandas()  # at most 256 * 255 + 1 rows
+    words, one = got[got["c"] < 0], got[got["c"] >= 0].sort_values(["c", "node"])
+    n_all, n_distinct = (int(words[v].sum()) for v in ("n0", "n1"))
+    depth1 = Layer(one["c"].to_numpy(np.int64) << 8 | one["node"].to_numpy(np.int64), *(one[v].to_numpy(float) for v in ("n0", "n1", "p")))
+    answers = by_bucket.mapInArrow(_answers(bits, depth1, depth1.up(1)), _ANSWERS)
     names = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(n_all, n_distinct), names)
-    bits = -F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", bits.alias("bits_per_byte"))
+    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(bits, n_all, n_distinct), names)
+    per_byte = -F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", per_byte.alias("bits_per_byte"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
