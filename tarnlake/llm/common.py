@@ -1,17 +1,17 @@
-"""Tables, shared storage and graph steps that several operators use."""
+"""What several operators share: tables, the corpus split, storage and graph steps."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of `pyspark` text columns are cut into pieces of about so many bytes before numpy sees them.
-PIECE_BYTES = 2 << 20
+from tarnlake.operators.graph import components
+from tarnlake.operators.storage import drop_stash, shared_dir, stash
 
-_own: dict[str, str] = {}
+__all__ = ["PIECE_BYTES", "components", "crc_mod", "drop_stash", "shared_dir", "stash", "table"]
+
+#: Text columns are cut into pieces of about so many bytes before numpy sees them.
+PIECE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -19,64 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (local sessions only)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = f"file://{tempfile.mkdtemp(prefix='tarnlake-')}"
-    return _own[app]
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
-
-
-def drop_stash(df: DataFrame) -> None:
-    """Deletes what stash() wrote, once nothing lazy reads it any more."""
-    path = getattr(df, "_stash_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def crc_mod(column, n: int):
     """crc32 of the id as text, mod n; null ids have no remainder."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))
-
-
-def components(edges: DataFrame, label: str, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component_id) of every id that an edge names; component_id is the smallest id reachable.
-
-    Alternating large-star and small-star rounds until the edge set stays as it is. Each round is a few
-    aggregations over the edges with map-side minima, so a hub with any number of edges is never gathered in
-    one task, and each round's edges are written to the shared folder.
-    """
-    now = stash(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), label)
-    seen = None
-    while True:
-        n, total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if (n, total) == seen:
-            break
-        seen = (n, total)
-        both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # Large star: every larger neighbour of u is linked to u's smallest neighbour.
-        large = now.join(least.withColumnRenamed("u", "k"), F.col("v") == F.col("k")).select("u", F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        # Small star: u and its smaller neighbours are linked to the smallest of them.
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m")))
-        after = stash(small.toDF("u", "v").where("u <> v").distinct(), label)
-        drop_stash(now)
-        now = after
-    return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.col("v").alias("component_id"))

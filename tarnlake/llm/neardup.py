@@ -32,7 +32,6 @@ SHINGLE = 5
 TABLES = 8  # keys in each of the two collections
 VALUES = 2  # minhashes in a key
 SMALL = 6  # buckets up to this size are compared pair by pair
-NEAR = 2  # neighbours looked at in large buckets
 _MULT = mix(np.arange(1, 2 * TABLES * VALUES + 1, dtype=U)) | U(1)
 _XOR = mix(np.arange(101, 2 * TABLES * VALUES + 101, dtype=U))
 
@@ -109,22 +108,32 @@ def _confirmed(percent: int):
     return run
 
 
-def _neighbours(near: int):
-    """Pairs of neighbouring rows of one bucket that are of different components, from rows sorted by bucket and signature."""
+def _cut(percent: int) -> int:
+    """Equal signature values that all but about one in 10^4 pairs at the threshold have: four standard errors below the mean."""
+    n, p = len(_MULT), percent / 100
+    return int(n * p - 4.2 * (n * p * (1 - p)) ** 0.5)
+
+
+def _neighbours(percent: int):
+    """Pairs of neighbouring rows of one bucket, of different components and likely alike, from rows sorted by bucket and signature."""
+    least = _cut(percent)
 
     def run(batches):
-        before: list[tuple] = []
+        last = None
         for batch in batches:
-            a, b = [], []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "rep", "c", "n_shingles")), strict=True):
-                if before and before[-1][0] != row[0]:
-                    before = []
-                for other in before:
-                    if other[2] != row[2]:
-                        a.append(min(other[1], row[1]))
-                        b.append(max(other[1], row[1]))
-                before = [*before[-(near - 1) :], row] if near > 1 else [row]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            n = batch.num_rows
+            if not n:
+                continue
+            bucket, rep, c, size = (np.asarray(batch.column(k)) for k in ("bucket", "rep", "c", "n_shingles"))
+            sig = batch.column("sig").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            if last is not None:
+                bucket, rep, c, size, sig = (np.concatenate([x, y]) for x, y in zip(last, (bucket, rep, c, size, sig), strict=True))
+            last = tuple(x[-1:] for x in (bucket, rep, c, size, sig))
+            small, large = np.minimum(size[1:], size[:-1]), np.maximum(size[1:], size[:-1])
+            good = (bucket[1:] == bucket[:-1]) & (c[1:] != c[:-1]) & (100 * small >= percent * large)
+            good &= (sig[1:] == sig[:-1]).sum(1) >= least
+            a, b = rep[:-1][good], rep[1:][good]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
@@ -137,7 +146,7 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
     same = real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     equal = stash(real.select("doc_id", "s1", "s2", "n_shingles").join(same, ["s1", "s2", "n_shingles"]).select("doc_id", "rep").distinct(), "equal-sets")
     first = equal.where("doc_id = rep").select("rep")
-    reps = real.join(first, F.col("doc_id") == F.col("rep")).dropDuplicates(["rep", "s1", "s2"]).select("rep", "n_shingles", "keys", "sig")
+    reps = stash(real.join(first, F.col("doc_id") == F.col("rep")).dropDuplicates(["rep", "s1", "s2"]).select("rep", "n_shingles", "keys", "sig"), "classes")
     # Band keys that more than one class has, and their combinations.
     bands = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -149,19 +158,20 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
     alike = stash(reps.join(in_bucket.select("rep").distinct(), "rep").select("rep", "n_shingles", "sig"), "alike")
     sets = stash(known.join(alike.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets(k), "doc_id long, set binary").dropDuplicates(["doc_id", "set"]), "sets")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def likely(pairs: DataFrame) -> DataFrame:
         sides = {s: alike.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}")) for s in "ab"}
         sized = pairs.where("a < b").distinct().join(sides["a"], "a").join(sides["b"], "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        # Half the values of 32: eight standard errors below 0.85, so only pairs that cannot link are left out.
         equal_values = F.expr("aggregate(zip_with(sig_a, sig_b, (x, y) -> if(x = y, 1, 0)), 0, (t, x) -> t + x)")
-        likely = sized.where(equal_values >= len(_MULT) * 3 // 8).select("a", "b")
-        full = likely.join(sets.withColumnsRenamed({"doc_id": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set": "set_b"}), "b")
+        return sized.where(equal_values >= _cut(percent)).select("a", "b")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set": "set_b"}), "b")
         return full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long")
 
     star = in_bucket.where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b"))
     small = in_bucket.where((F.col("members") <= SMALL) & (F.col("members") > 2)).groupBy("bucket").agg(F.array_sort(F.collect_set("rep")).alias("x"))
     each = small.select(F.posexplode("x").alias("i", "a"), "x").select("a", F.explode(F.slice("x", F.col("i") + 2, SMALL)).alias("b"))
-    links = stash(confirm(star.union(each)), "links")
+    links = stash(confirm(likely(star.union(each))), "links")
     turn = 0
     while True:
         merged = stash(components(equal.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(links), "near-components"), "near-merged")
@@ -170,9 +180,9 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
         open_ = large.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("bucket")
         rotated = F.expr(f"pmod(bucket + {7 * turn}, {len(_MULT)})").cast("int")
         order = F.concat(F.slice("sig", rotated + 1, F.lit(len(_MULT))), F.slice("sig", F.lit(1), rotated))
-        queue = large.join(open_, "bucket").join(alike.select("rep", "n_shingles", "sig"), "rep").select("bucket", "rep", "c", "n_shingles", order.alias("o"))
-        pairs = queue.repartitionByRange("bucket", "o").sortWithinPartitions("bucket", "o", "rep").select("bucket", "rep", "c", "n_shingles").mapInArrow(_neighbours(NEAR), "a long, b long")
-        more = stash(confirm(pairs), "links")
+        queue = large.join(open_, "bucket").join(alike.select("rep", "n_shingles", "sig"), "rep").select("bucket", "rep", "c", "n_shingles", "sig", order.alias("o"))
+        pairs = queue.repartitionByRange("bucket", "o").sortWithinPartitions("bucket", "o", "rep").drop("o").mapInArrow(_neighbours(percent), "a long, b long")
+        more = stash(confirm(pairs.distinct()), "links")
         if more.isEmpty():
             break
         links = links.union(more)
