@@ -1,0 +1,121 @@
+"""URL functions, one for each of the normal forms in use; they differ on purpose."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tarnlake.functions import rules
+
+_LOW = lambda c: F.lower(c)
+
+
+def scheme(c: Column) -> Column:
+    return F.lower(F.regexp_extract(c, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+
+
+def netloc(c: Column) -> Column:
+    return F.lower(F.regexp_extract(c, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+
+
+def path(c: Column) -> Column:
+    return F.regexp_extract(c, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+
+
+def query(c: Column) -> Column:
+    return F.regexp_extract(c, r"^[^?#]*\?([^#]*)", 1)
+
+
+def tracked_query(c: Column) -> Column:
+    """The query without parameters that only track."""
+    kept = F.filter(F.split(query(c), "&"), lambda p: (p != "") & ~F.element_at(F.split(p, "="), 1).rlike("(?i)" + rules.TRACKING_KEY))
+    return F.array_join(kept, "&")
+
+
+def _built(s: Column, n: Column, p: Column, q: Column) -> Column:
+    return F.concat(s, F.lit("://"), n, p, F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+
+
+def _valid(c: Column, out: Column) -> Column:
+    return F.when((scheme(c) == "") | (netloc(c) == ""), "").otherwise(out)
+
+
+def url_key(c: Column) -> Column:
+    """No fragment, no tracking, no trailing slash, port kept; empty if not a url."""
+    c = F.coalesce(c, F.lit(""))
+    p = F.when(path(c) == "/", "/").otherwise(F.regexp_replace(path(c), "/+$", ""))
+    return _valid(c, _built(scheme(c), netloc(c), p, tracked_query(c)))
+
+
+def queue_url(c: Column) -> Column:
+    """Default ports dropped, a malformed `/&utm_` tail cut, trailing slash kept."""
+    c = F.coalesce(c, F.lit(""))
+    n = F.when(scheme(c) == "http", F.regexp_replace(netloc(c), ":80$", "")).when(scheme(c) == "https", F.regexp_replace(netloc(c), ":443$", "")).otherwise(netloc(c))
+    return _valid(c, _built(scheme(c), n, F.regexp_replace(path(c), "(?i)/&utm_.*$", "/"), tracked_query(c)))
+
+
+def defragmented(c: Column) -> Column:
+    """No fragment; the slash of a path other than the root is dropped."""
+    return F.regexp_replace(F.regexp_replace(c, "#.*$", ""), "(?<=[^/])/+$", "")
+
+
+def batch_url(c: Column) -> Column:
+    """Default ports dropped, query verbatim."""
+    n = F.regexp_replace(netloc(c), "(:80|:443)$", "")
+    return _valid(c, _built(scheme(c), n, F.when(path(c) == "", "/").otherwise(path(c)), query(c)))
+
+
+def lower_key(c: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "#.*$", ""), "/+$", ""))
+
+
+def fingerprint(c: Column) -> Column:
+    """Host, path and query without scheme and www, so that renderings of one page meet."""
+    return F.concat_ws("|", host(c), F.lower(F.regexp_replace(path(c), "/+$", "")), tracked_query(c))
+
+
+def host(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(netloc(c), "^[^@]*@|:[0-9]*$", ""), r"^www\.", "")
+
+
+def base_host(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(netloc(c), ":[0-9]*$", ""), r"^www\d*\.", "")
+
+
+def belongs(h: Column, domain: Column) -> Column:
+    """h is the domain or below it."""
+    return (h == domain) | F.endswith(h, F.concat(F.lit("."), domain))
+
+
+def related(h: Column, domain: Column) -> Column:
+    """Either is the other or below it."""
+    return belongs(h, domain) | belongs(domain, h)
+
+
+def denied(c: Column) -> Column:
+    hosts = F.array(*map(F.lit, rules.DENIED_HOSTS))
+    return F.exists(hosts, lambda d: belongs(host(c), d))
+
+
+def is_web(c: Column) -> Column:
+    return scheme(c).isin("http", "https") & (host(c) != "")
+
+
+def depth(c: Column) -> Column:
+    return F.size(F.filter(F.split(path(c), "/"), lambda s: s != ""))
+
+
+def signal_text(c: Column) -> Column:
+    return F.concat_ws(" ", host(c), F.try_url_decode(path(c)), F.try_url_decode(query(c)))
+
+
+def registrable(h: Column) -> Column:
+    """The last two labels, three below the common second-level domains of country codes."""
+    labels = F.split(h, r"\.")
+    n = F.size(labels)
+    three = (n >= 3) & (F.length(F.element_at(labels, -1)) == 2) & F.element_at(labels, F.when(n >= 2, -2).otherwise(-1)).isin("ac", "co", "edu", "gov", "org", "net", "com")
+    return F.array_join(F.slice(labels, F.when(three, n - 2).otherwise(F.greatest(n - 1, F.lit(1))), F.when(three, 3).otherwise(2)), ".")
+
+
+def untracked_path(c: Column) -> Column:
+    return F.regexp_replace(c, "(?i)/&utm_[^?#]*", "/")
