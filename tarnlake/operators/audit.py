@@ -1,0 +1,27 @@
+"""Data-quality constraints as rows of violations(rule, key, detail)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def failing(df: DataFrame, rule: str, key: str, good: Column, detail: str) -> DataFrame:
+    """Rows for which `good` is not true."""
+    return df.where(~F.coalesce(good, F.lit(False))).select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"), F.col(detail).cast("string").alias("detail"))
+
+
+def orphans(df: DataFrame, rule: str, key: str, reference: str, parents: DataFrame, parent: str) -> DataFrame:
+    p = parents.select(F.col(parent).alias("_p")).distinct()
+    return df.join(p, F.col(reference) == F.col("_p"), "left_anti").select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"), F.col(reference).cast("string").alias("detail"))
+
+
+def duplicates(df: DataFrame, rule: str, key: str) -> DataFrame:
+    return df.groupBy(key).count().where("count > 1").select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"), F.col("count").cast("string").alias("detail"))
+
+
+def summary(violations: list[DataFrame]) -> DataFrame:
+    every = violations[0]
+    for v in violations[1:]:
+        every = every.union(v)
+    return every.groupBy("rule").agg(F.count("*").alias("violations"), F.min("key").alias("first_key"))

@@ -1,0 +1,41 @@
+"""Ranking over one or several boards."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tarnlake.operators.dedup import global_position
+
+
+def competition_rank(df: DataFrame, score: str, name: str = "rank") -> DataFrame:
+    """Ranks by falling score, equal scores sharing the first place. A score's rank is one more than the rows above it:
+    counted per distinct score, so only distinct scores meet in the running sum."""
+    w = Window.orderBy(F.col(score).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    places = df.groupBy(score).count().withColumn(name, F.coalesce(F.sum("count").over(w), F.lit(0)) + 1).select(F.col(score).alias("_s"), name)
+    return df.join(places, df[score].eqNullSafe(F.col("_s"))).drop("_s")
+
+
+def sequential_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    return global_position(df, order, name).withColumn(name, F.col(name) + 1)
+
+
+def first_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows; a partial top-n in each task, no full sort."""
+    return df.orderBy(*order).limit(n)
+
+
+def order_breaks(df: DataFrame, keys: list[str], order: list[Column], rank: str, score: str) -> DataFrame:
+    """Rows whose rank falls below the row before, or whose score rises above the last one known."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    out = df.withColumns({"previous_rank": F.lag(rank).over(w), "last_score": F.last(score, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    return out.where((F.col(rank) < F.col("previous_rank")) | (F.col(score) > F.col("last_score")))
+
+
+def mean_rank(boards: list[DataFrame], key: str, least: int) -> DataFrame:
+    """key, boards, mean_rank over boards (columns key and rank) for keys on at least `least` of them."""
+    every = boards[0].select(key, "rank")
+    for b in boards[1:]:
+        every = every.unionByName(b.select(key, "rank"))
+    return every.groupBy(key).agg(F.count("*").alias("boards"), F.avg("rank").alias("mean_rank")).where(F.col("boards") >= least)

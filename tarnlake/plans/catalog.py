@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tarnlake.plans import entity_plans, page_plans, ranking_plans
+
+_PARTS = (ranking_plans, entity_plans, page_plans)
+QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLES: dict = {k: s for part in _PARTS for k, s in part.ORACLES.items()}

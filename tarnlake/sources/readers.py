@@ -1,0 +1,95 @@
+"""Sources: JSON payloads, snapshots, manifests, raw bodies, CSV, sectioned text."""
+
+from __future__ import annotations
+
+import gzip
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
+from pyspark.sql.window import Window
+
+
+def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def json_table(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True) -> DataFrame:
+    """Whole-file JSON (a list of objects) by schema; an empty table where there is no file. Broken files give no rows but are
+    seen in `_corrupt_record` if the schema has it."""
+    try:
+        return spark.read.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE").json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def payload_items(df: DataFrame, column: str, item: str, keys: tuple[str, ...] = ("items", "data", "value", "results")) -> DataFrame:
+    """Rows of a payload that is a list, or an object that holds the list under one of several keys."""
+    lists = [F.from_json(column, f"array<{item}>")] + [F.from_json(F.get_json_object(column, f"$.{k}"), f"array<{item}>") for k in keys]
+    found = F.coalesce(*(F.filter(x, lambda e: e.isNotNull()) for x in lists))
+    return df.withColumn("_i", F.explode(found)).select("_i.*")
+
+
+def latest_partition(df: DataFrame, partition: str) -> DataFrame:
+    """The rows of the last value of a partition column: one scalar, then partition pruning."""
+    last = df.agg(F.max(partition)).first()[0]
+    return df.where(F.col(partition) == F.lit(last))
+
+
+def live_or_archive(live: DataFrame, archive: DataFrame) -> DataFrame:
+    return archive if live.isEmpty() else live
+
+
+def manifests(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """All manifest.json below root with their path; quarantined folders are left out."""
+    found = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").json(root)
+    return found.withColumn("manifest", F.input_file_name()).where(~F.contains("manifest", F.lit("/_quarantine")))
+
+
+@F.pandas_udf(T.StringType())
+def gunzip_text(body: pd.Series) -> pd.Series:
+    """Bytes as text, gunzipped where they are compressed; null where they cannot be."""
+
+    def text(b):
+        if b is None:
+            return None
+        try:
+            return (gzip.decompress(b) if b[:2] == b"\x1f\x8b" else b).decode("utf-8", "replace")
+        except OSError:
+            return None
+
+    return body.map(text)
+
+
+def raw_bodies(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """path, bytes, sha256 (of what is stored) and text of each file."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root)
+    return files.select("path", F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"), gunzip_text("content").alias("text"))
+
+
+def csv_table(spark: SparkSession, path: str, columns: int) -> DataFrame:
+    """A CSV with a header; rows that lack one of the first columns are left out."""
+    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    return df.dropna(subset=df.columns[:columns])
+
+
+def sections(lines: DataFrame) -> DataFrame:
+    """(file, line, kind, ids, key, value) of `key = value` lines below `[kind id ...]` headers; # and ; begin comments.
+
+    lines: file, line, text. The header in force is the last one above within the file.
+    """
+    named = lines.withColumn("t", F.trim("text")).where("t <> '' AND NOT t RLIKE '^[#;]'")
+    head = F.nullif(F.regexp_extract("t", r"^\[([^\]]+)\]$", 1), F.lit(""))
+    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    known = named.withColumn("h", F.last(head, ignorenulls=True).over(w)).where("NOT t RLIKE '^\\\\[' AND t LIKE '%=%'")
+    parts = F.split("h", r"\s+")
+    return known.select("file", "line", parts[0].alias("kind"), F.slice(parts, 2, 100).alias("ids"), F.trim(F.regexp_extract("t", "^([^=]*)=", 1)).alias("key"), F.trim(F.regexp_extract("t", "^[^=]*=(.*)$", 1)).alias("value"))
+
+
+def repeated_keys(found: DataFrame) -> DataFrame:
+    """Keys that a section gives more than once, with their lines: an error of the file."""
+    return found.groupBy("file", "kind", "ids", "key").agg(F.array_sort(F.collect_list("line")).alias("lines")).where("size(lines) > 1")
