@@ -9,7 +9,7 @@ from tarnlake.operators.storage import drop_stash, stash
 
 
 def components(edges: DataFrame, label: str, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component_id) of every id that an edge names; component_id is the smallest id reachable.
+    """(id, component_id) of every id that an edge links to another; component_id is the smallest id reachable.
 
     Alternating large-star and small-star rounds until the edge set stays as it is. Each round is a few
     aggregations over the edges with map-side minima, so a hub with any number of edges is never gathered in
@@ -33,27 +33,28 @@ def components(edges: DataFrame, label: str, a: str = "a", b: str = "b") -> Data
         after = stash(small.toDF("u", "v").where("u <> v").distinct(), label)
         drop_stash(now)
         now = after
-    return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+    stars = now.groupBy("u").agg(F.min("v").alias("v")).union(now.select("v", F.col("v")).distinct())
+    return stars.toDF("id", "component_id")
 
 
 def flatten_chains(edges: DataFrame, label: str = "chains") -> DataFrame:
     """(id, root) for rows (id, next): pointers are followed to the id without a next, doubling the reach each round.
 
-    An id on a cycle, or leading into one, has the cycle's smallest id as root. Null pointers end a chain.
+    An id on a cycle, or leading into one, has the cycle's smallest id as root. Null pointers and pointers to
+    unknown ids end a chain; repeated rows of an id count once, with the smallest pointer.
     """
-    now = stash(edges.select("id", F.coalesce("next", "id").alias("to"), F.lit(False).alias("done")), label)
-    n = now.count()
-    steps = 0
-    while steps <= max(1, n).bit_length():
-        ends = now.select(F.col("id").alias("_k"), F.col("to").alias("_to"))
-        after = now.join(ends, F.col("to") == F.col("_k"), "left").select("id", F.coalesce("_to", "to").alias("to"), (F.coalesce("_to", "to") == F.col("to")).alias("done"))
-        after = stash(after, label)
+    once = stash(edges.groupBy("id").agg(F.min("next").alias("next")), label)
+    ends = F.col("next").isNull() | (F.col("next") == F.col("id"))
+    now = stash(once.select("id", F.coalesce("next", "id").alias("to"), ends.alias("done")), label)
+    n, reach = now.count(), 1
+    while reach <= n and not now.where("NOT done").isEmpty():
+        there = now.select(F.col("id").alias("_k"), F.col("to").alias("_to"), F.col("done").alias("_done"))
+        step = now.join(there, F.col("to") == F.col("_k"), "left")
+        after = stash(step.select("id", F.coalesce("_to", "to").alias("to"), (F.col("done") | F.coalesce("_done", F.lit(True))).alias("done")), label)
         drop_stash(now)
-        now = after
-        steps += 1
-        if now.where("NOT done").isEmpty():
-            return now.select("id", F.col("to").alias("root"))
-    # What is left moves on cycles: their members are components of the edges among them.
-    moving = now.where("NOT done").select("id")
-    loops = components(edges.join(moving, "id").select(F.col("id").alias("a"), F.col("next").alias("b")), label).withColumnRenamed("component_id", "loop")
-    return now.join(loops, "id", "left").select("id", F.coalesce("loop", "to").alias("root"))
+        now, reach = after, 2 * reach
+    # What is left has reached a cycle: the cycles are components of the pointers among the ids reached.
+    on_cycle = now.where("NOT done").select(F.col("to").alias("id")).distinct()
+    loops = components(once.join(on_cycle, "id").select(F.col("id").alias("a"), F.col("next").alias("b")), label)
+    loops = loops.select(F.col("id").alias("_on"), F.col("component_id").alias("_loop"))
+    return now.join(loops, ~F.col("done") & (F.col("to") == F.col("_on")), "left").select("id", F.coalesce("_loop", "to").alias("root"))
