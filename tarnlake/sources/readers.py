@@ -29,8 +29,8 @@ def json_table(spark: SparkSession, path: str, schema: T.StructType, multiline:
 
 def payload_items(df: DataFrame, column: str, item: str, keys: tuple[str, ...] = ("items", "data", "value", "results")) -> DataFrame:
     """Rows of a payload that is a list, or an object that holds the list under one of several keys."""
-    lists = [F.from_json(column, f"array<{item}>")] + [F.from_json(F.get_json_object(column, f"$.{k}"), f"array<{item}>") for k in keys]
-    found = F.coalesce(*(F.filter(x, lambda e: e.isNotNull()) for x in lists))
+    held = F.coalesce(*(F.get_json_object(column, f"$.{k}") for k in keys))
+    found = F.from_json(F.when(F.startswith(F.ltrim(column), F.lit("[")), F.col(column)).otherwise(held), f"array<{item}>")
     return df.withColumn("_i", F.explode(found)).select("_i.*")
 
 

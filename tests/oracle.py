@@ -1,12 +1,13 @@
 """Spark results against DuckDB on the same Parquet tables."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def _cell(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return "NULL"
     if isinstance(v, bool) or str(type(v)).endswith("bool_'>"):
         return str(bool(v))
