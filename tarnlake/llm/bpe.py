@@ -31,12 +31,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tarnlake.llm.common import PIECE_BYTES, table
+from tarnlake.llm.common import PIECE_BYTES, arrow, table
 from tarnlake.llm.textscan import pieces
 
 LONG = 64
 #: Pre-tokens remembered by a worker; beyond it the memory is emptied.
-REMEMBER = 400_000
+REMEMBER = 250_000
 #: Pre-tokens that are merged in one queue at a time.
 TOGETHER = 60_000
 
@@ -311,7 +311,7 @@ def _coded(docs: DataFrame, ranks_path: str, pattern: str, added: list[str], col
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), *columns(ids, raw)], names=[*kept, *names])
 
     schema = T.StructType([docs.schema[c] for c in kept] + list(T._parse_datatype_string(", ".join(added)).fields))
-    return docs.select(*(f"`{c}`" for c in kept), "text").mapInArrow(run, schema)
+    return docs.select(*(f"`{c}`" for c in kept), "text").transform(arrow, run, schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnlake.llm.common import stash, table
+from tarnlake.llm.common import arrow, stash, table
 from tarnlake.llm.lattice import matrix, runs_of, usable
 
 SHARD_ROWS = 32768
@@ -211,7 +211,7 @@ def index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, links: int =
     nodes = stash(nodes, "nodes")
     shards = max(LEAST_SHARDS, -(-nodes.count() // shard_rows))
     dealt = nodes.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.size("embedding").alias("width"), "embedding", "ids")
-    return stash(dealt.repartition(shards, "shard").sortWithinPartitions("shard", "width", "ids").mapInArrow(_build(links), _GRAPH), "graphs")
+    return stash(dealt.repartition(shards, "shard").sortWithinPartitions("shard", "width", "ids").transform(arrow, _build(links), _GRAPH), "graphs")
 
 
 def _search(k: int, beam: int):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import components, drop_stash, stash, table
+from tarnlake.llm.common import arrow, components, drop_stash, stash, table
 
 TABLES = 10
 BLOCKS = 2
@@ -196,14 +196,14 @@ def near_copies(vectors: DataFrame, least: float = 0.95, tables: int = TABLES, b
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("ok", usable("embedding") & F.col("vec_id").isNotNull())
     good = rows.where("ok").select("vec_id", "embedding", F.xxhash64("embedding").alias("h"))
     same = stash(good.distinct().groupBy("h", "embedding").agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies")).withColumn("width", F.size("embedding")), "vectors")
-    filed = stash(same.select("cid", "embedding", "width").mapInArrow(_file(tables, blocks, scale), "cid long, cells array<long>"), "cells")
+    filed = stash(same.select("cid", "embedding", "width").transform(arrow, _file(tables, blocks, scale), "cid long, cells array<long>"), "cells")
     each = filed.select("cid", F.explode(F.array_distinct("cells")).alias("cell"))
     full = each.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / cell_rows).cast("int"))
     placed = each.join(full.select("cell", "parts"), "cell").withColumn("block", F.pmod(F.xxhash64("cid", "cell"), F.col("parts")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("cid", "cell", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     loaded = pairs.join(same.select("cid", "copies", "width", "embedding"), "cid").join(filed, "cid")
     found = loaded.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "width").select("cell", "i", "j", "width", "block", "cid", "copies", "embedding", "cells")
-    met = stash(found.mapInArrow(_compare(least, tables), "cid long, links long, lead long"), "cell-links")
+    met = stash(found.transform(arrow, _compare(least, tables), "cid long, links long, lead long"), "cell-links")
     counts = met.groupBy("cid").agg(F.sum("links").alias("links"))
     ids = good.select("vec_id", "h", "embedding").join(same.select("h", "embedding", "cid", "copies"), ["h", "embedding"]).select("vec_id", "cid", "copies").distinct()
     ids = stash(ids.join(counts, "cid", "left").select("vec_id", "cid", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vector-links")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnlake.llm.common import crc_mod, table
+from tarnlake.llm.common import arrow, crc_mod, table
 from tarnlake.llm.textscan import SPACE, U, Words, distinct_per_text, mix, per_text, pieces, texts
 
 FEATURES = (
@@ -200,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 24000) -> Gam:
     usable = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & (crc_mod(F.col("doc_id"), 3) != 1))
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
     chosen = F.broadcast(picked.select("doc_id").distinct())  # at most max_rows ids
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi").mapInArrow(_feature_rows, _FEATURE_SCHEMA)
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi").transform(arrow, _feature_rows, _FEATURE_SCHEMA)
     got = rows.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "quality").toPandas()
     x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, len(FEATURES)))
     return fit(x, got["quality"].to_numpy(dtype=float))
@@ -216,7 +216,7 @@ def score(docs: DataFrame, model: Gam) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in ("doc_id", "held_out")), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.transform(arrow, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Gam, threshold: float = 0.5) -> DataFrame:
@@ -229,7 +229,7 @@ def keep_good(docs: DataFrame, model: Gam, threshold: float = 0.5) -> DataFrame:
                 good = model.score(features(*texts(piece.column(at)))) >= threshold
                 yield piece.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow, run, docs.schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import table
+from tarnlake.llm.common import arrow, table
 
 
 @dataclass(frozen=True)
@@ -120,7 +120,7 @@ def judge(pages: DataFrame, hosts: tuple[HostRule, ...] = HOST_RULES, patterns:
             columns = [pa.array([r[k] for r in rows], pa.string()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), *columns], names=["page_id", "host", "path", "rule", "verdict"])
 
-    return pages.select("page_id", "url").mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
+    return pages.select("page_id", "url").transform(arrow, run, "page_id long, host string, path string, rule string, verdict string")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
