@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import drop_stash, stash, table
+from tarnlake.llm.common import arrow, drop_stash, stash, table
 from tarnlake.llm.textscan import Runs, U, Words, pieces, texts
 
 WINDOW = 50
@@ -117,19 +117,21 @@ def _edges(window: int):
 def repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """doc_id, gone: for each document with repeats, (tid, s, e) word ranges, end exclusive, that a smaller doc_id holds too."""
     known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stash(known.mapInArrow(_paths(window, kmer), _PATHS), "paths")
+    rows = stash(known.transform(arrow, _paths(window, kmer), _PATHS), "paths")
     paths = rows.select("doc_id", "tid", F.explode("paths").alias("p")).select("doc_id", "tid", "p.*")
     minmax = [f(c).alias(f"{n}_{c}") for c in ("h1", "h2") for n, f in (("min", F.min), ("max", F.max))]
     keys = paths.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), *minmax).where("first_doc < last_doc")
-    keys = keys.select(F.col("key").alias("k"), "first_doc", F.expr("min_h1 <> max_h1 OR min_h2 <> max_h2").alias("branching"))
+    # Tables of their own on one side of each join: Spark can then split a hot key's rows on the other.
+    keys = stash(keys.select(F.col("key").alias("k"), "first_doc", F.expr("min_h1 <> max_h1 OR min_h2 <> max_h2").alias("branching")), "repeated-kmers")
     met = stash(paths.join(keys, F.col("key") == F.col("k")).where("branching OR doc_id > first_doc").select("doc_id", "tid", "s", "e", "branching"), "paths-met")
     drop_stash(rows)
     sure = met.where("NOT branching").select("doc_id", "tid", "s", (F.col("e") + window).alias("e"))
     open_ = met.where("branching").groupBy("doc_id").agg(F.collect_list(F.struct("tid", "s", "e")).alias("open")).withColumnRenamed("doc_id", "o")
     # Rows that share an id are alike in what is open, each finds its own text's ranges by tid.
-    edges = stash(known.join(open_, F.col("doc_id") == F.col("o")).select("doc_id", "text", "open").mapInArrow(_edges(window), "doc_id long, tid long, p int, h1 long, h2 long"), "edges")
+    edges = stash(known.join(open_, F.col("doc_id") == F.col("o")).select("doc_id", "text", "open").transform(arrow, _edges(window), "doc_id long, tid long, p int, h1 long, h2 long"), "edges")
     first = edges.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
-    found = edges.join(first.drop("last_doc"), ["h1", "h2"]).where("doc_id > first_doc").select("doc_id", "tid", F.col("p").alias("s"), (F.col("p") + window).alias("e"))
+    first = stash(first.drop("last_doc"), "repeated-edges")
+    found = edges.join(first, ["h1", "h2"]).where("doc_id > first_doc").select("doc_id", "tid", F.col("p").alias("s"), (F.col("p") + window).alias("e"))
     return sure.union(found).groupBy("doc_id").agg(F.collect_list(F.struct("tid", "s", "e")).alias("gone"))
 
 
@@ -167,7 +169,7 @@ def _joined(docs: DataFrame, found: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _joined(rows, repeats(docs, window, kmer)).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _joined(rows, repeats(docs, window, kmer)).transform(arrow, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
@@ -183,7 +185,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) ->
                 columns[at] = pa.array(new, columns[at].type)
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return _joined(docs, repeats(docs, window, kmer)).mapInArrow(run, schema)
+    return _joined(docs, repeats(docs, window, kmer)).transform(arrow, run, schema)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
