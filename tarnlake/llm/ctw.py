@@ -10,7 +10,7 @@ Texts are scored with A-Z lower-cased, as are the tokens of the unigram base.
 
 How it is spread: a byte with its context is one number, so the tree is built from counts of (DEPTH + 1)-grams.
 Texts are dealt into chunks of about `chunk_bytes`. A chunk asks for the values of the distinct words and grams
-it holds: it sends sorted arrays of keys with its own counts to buckets of the key space (all grams with the
+it holds: it sends packed arrays of sorted keys with its own counts to buckets of the key space (all grams with the
 same last two context bytes are in one bucket). A bucket adds up what the chunks counted, works out the values,
 and answers each chunk with arrays in the same form. Only depths 0 and 1, at most 256 * 256 nodes, and two
 totals pass through the driver. No vocabulary is broadcast or collected, and a frequent word or gram has one
@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import crc_mod, stash, table
+from tarnlake.llm.common import arrow, crc_mod, stash, table
 from tarnlake.llm.lattice import runs_of
 from tarnlake.llm.textscan import LOWER, U, Words, pieces, texts
 
 DEPTH = 5
-CHUNK_BYTES = 16 << 20
-LEAST_CHUNKS = 32
+CHUNK_BYTES = 32 << 20
+LEAST_CHUNKS = 8
 #: Bytes of text for each bucket of words and each of grams.
 BUCKET_BYTES = 4 << 20
 _END_TOKEN = 0
@@ -45,6 +45,20 @@ _WORD_BITS = 63
 _SPREAD = 40503
 
 
+def _pack(values: np.ndarray, sorted_keys: bool = False) -> bytes:
+    """64-bit values with like bytes side by side (differences, where they are sorted keys), compressed."""
+    v = np.diff(values, prepend=values.dtype.type(0)) if sorted_keys else values
+    planes = np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(v).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, kind, sorted_keys: bool = False) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    v = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(v) if sorted_keys else v
+
+
 def word_keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """63-bit keys of the words and the end token of each text, and where each text's begin (one more entry)."""
     w = Words(buf, offs)
@@ -104,7 +118,7 @@ def _asked(bits: int):
             cuts = np.searchsorted(keys, np.arange(1, 1 << bits) << (width - bits))
             for bucket, (k, n) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)):
                 if len(k):
-                    out.append((int(chunk), bucket + (kind << bits), k.tobytes(), n.astype(np.int64).tobytes()))
+                    out.append((int(chunk), bucket + (kind << bits), _pack(k, True), _pack(n.astype(np.int64))))
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "bucket", "keys", "counts"])
 
     def run(batches):
@@ -199,8 +213,8 @@ def _last_byte(pair: np.ndarray) -> np.ndarray:
 
 def _group(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The keys that each chunk asks of a bucket; all of them with their totals."""
-    asked = [np.frombuffer(k.as_py(), np.int64) for k in group.column("keys")]
-    return asked, *_merged([(k, np.frombuffer(n.as_py(), np.int64)) for k, n in zip(asked, group.column("counts"), strict=True)])
+    asked = [_unpack(k.as_py(), np.int64, True) for k in group.column("keys")]
+    return asked, *_merged([(k, _unpack(n.as_py(), np.int64)) for k, n in zip(asked, group.column("counts"), strict=True)])
 
 
 def _totals(bits: int):
@@ -239,7 +253,7 @@ def _answers(bits: int, one: Layer, none: Layer):
                 p = one.mixed((_last_byte(context)[:, None] << 8 | node).ravel(), bit.ravel(), p)
                 p = none.mixed(node.ravel(), bit.ravel(), p)
                 value = np.log10(p).reshape(-1, 8).sum(1)
-            yield pa.RecordBatch.from_arrays([group.column(c).combine_chunks() for c in ("chunk", "bucket", "keys")] + [pa.array([value[np.searchsorted(keys, k)].tobytes() for k in asked], pa.binary())], names=["chunk", "bucket", "keys", "answers"])
+            yield pa.RecordBatch.from_arrays([group.column(c).combine_chunks() for c in ("chunk", "bucket", "keys")] + [pa.array([_pack(value[np.searchsorted(keys, k)]) for k in asked], pa.binary())], names=["chunk", "bucket", "keys", "answers"])
 
     return run
 
@@ -248,13 +262,13 @@ def _scores(bits: int, n_all: int, n_distinct: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 
-    def joined(rows: pa.Table, column: str, kind) -> np.ndarray:
-        return np.concatenate([np.frombuffer(v.as_py(), kind) for v in rows.column(column)] or [np.zeros(0, kind)])
+    def joined(rows: pa.Table, column: str, kind, sorted_keys: bool = False) -> np.ndarray:
+        return np.concatenate([_unpack(v.as_py(), kind, sorted_keys) for v in rows.column(column)] or [np.zeros(0, kind)])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")  # keys are then in order within words and within grams
         side = np.asarray(right.column("bucket").combine_chunks()) >> bits
-        (words_at, counts), (grams_at, logs) = ((joined(rows, "keys", np.int64), joined(rows, "answers", np.float64)) for rows in (right.filter(pa.array(side == k)) for k in range(2)))
+        (words_at, counts), (grams_at, logs) = ((joined(rows, "keys", np.int64, True), joined(rows, "answers", np.float64)) for rows in (right.filter(pa.array(side == k)) for k in range(2)))
         out = []
         for batch in left.to_batches():
             for piece in pieces(batch):
@@ -282,14 +296,14 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = B
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
     dealt = rows.repartition("chunk")
     learnt = dealt.withColumn("train", ~F.col("held_out")).sortWithinPartitions("chunk").select("chunk", "train", "text")
-    asked = stash(learnt.mapInArrow(_asked(bits), _ASKED), "asked")
+    asked = stash(learnt.transform(arrow, _asked(bits), _ASKED), "asked")
     by_bucket = asked.repartition("bucket").sortWithinPartitions("bucket", "chunk")
-    sums = by_bucket.mapInArrow(_totals(bits), "c int, node int, n0 double, n1 double, p double")
+    sums = by_bucket.transform(arrow, _totals(bits), "c int, node int, n0 double, n1 double, p double")
     got = sums.groupBy("c", "node").agg(*(F.sum(v).alias(v) for v in ("n0", "n1", "p"))).toPandas()  # at most 256 * 255 + 1 rows
     words, one = got[got["c"] < 0], got[got["c"] >= 0].sort_values(["c", "node"])
     n_all, n_distinct = (int(words[v].sum()) for v in ("n0", "n1"))
     depth1 = Layer(one["c"].to_numpy(np.int64) << 8 | one["node"].to_numpy(np.int64), *(one[v].to_numpy(float) for v in ("n0", "n1", "p")))
-    answers = by_bucket.mapInArrow(_answers(bits, depth1, depth1.up(1)), _ANSWERS)
+    answers = by_bucket.transform(arrow, _answers(bits, depth1, depth1.up(1)), _ANSWERS)
     names = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(bits, n_all, n_distinct), names)
     per_byte = -F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)
