@@ -7,10 +7,9 @@ probability (1 - (1 - s**r)**m)**2: 0.99993 at 0.85, 0.9994 at 0.8.
 
 A combination can only be shared by documents that share both of its keys, so keys that just one document has
 are dropped before combining. Documents with equal sets are one class from the start. In each bucket every
-class is compared with the bucket's smallest id, in small buckets with all others. Then, as long as that
-merges anything, classes of buckets that still hold more than one component are compared with neighbours
-of other components in the order of their signatures (rotated by bucket and round, so that neighbours share the
-longest signature prefix). All steps make a number of pairs in proportion to bucket rows, however large a group
+class is compared with the bucket's smallest id, in small buckets with all others. In larger buckets it is also compared with those next to it in two
+orders of their signatures (rotated by bucket, so that neighbours share the longest signature prefix), as far as
+the first comparisons have not put the two into one component. All steps make a number of pairs in proportion to bucket rows, however large a group
 is. Every link is confirmed on the full sets.
 
 Defined results: a null or empty text, or one of white space, has no shingles and links with nothing; a text of
@@ -25,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import components, drop_stash, stash, table
+from tarnlake.llm.common import arrow, components, drop_stash, stash, table
 from tarnlake.llm.textscan import LOWER, Runs, U, Words, distinct_per_text, mix, pieces, texts
 
 SHINGLE = 5
 TABLES = 8  # keys in each of the two collections
 VALUES = 2  # minhashes in a key
 SMALL = 6  # buckets up to this size are compared pair by pair
+NEAR = 3  # rows looked back at in larger buckets, in each of two orders
 _MULT = mix(np.arange(1, 2 * TABLES * VALUES + 1, dtype=U)) | U(1)
 _XOR = mix(np.arange(101, 2 * TABLES * VALUES + 101, dtype=U))
 
@@ -50,7 +50,7 @@ def shingles(piece: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, int
     return d, v, len(w.per_text)
 
 
-_SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, sig array<int>"
+_SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, sig binary"
 
 
 def _signatures(k: int):
@@ -74,8 +74,9 @@ def _signatures(k: int):
                     for t in range(VALUES):
                         key = mix(key * U(31) ^ low[:, j * VALUES + t])
                     band[:, j] = key
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())) for x in (band.view(np.int64), (low >> U(33)).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(size.astype(np.int64)), *(pa.array(sums[:, j].copy().view(np.int64)) for j in range(2)), *lists], names=["doc_id", "n_shingles", "s1", "s2", "keys", "sig"])
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, band.shape[1], dtype=np.int32)), pa.array(band.view(np.int64).ravel()))
+                sig = pa.array([x.tobytes() for x in (low >> U(56)).astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(size.astype(np.int64)), *(pa.array(sums[:, j].copy().view(np.int64)) for j in range(2)), keys, sig], names=["doc_id", "n_shingles", "s1", "s2", "keys", "sig"])
 
     return run
 
@@ -114,26 +115,46 @@ def _cut(percent: int) -> int:
     return int(n * p - 4.2 * (n * p * (1 - p)) ** 0.5)
 
 
+def _bytes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), len(_MULT))
+
+
+def _alike(percent: int):
+    """Pairs that sizes and signatures do not rule out, from rows a, b, n_a, n_b, sig_a, sig_b."""
+    least = _cut(percent)
+
+    def run(batches):
+        for batch in batches:
+            n, m = np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b"))
+            good = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            if len(good):
+                good &= (_bytes(batch.column("sig_a")) == _bytes(batch.column("sig_b"))).sum(1) >= least
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _neighbours(percent: int):
-    """Pairs of neighbouring rows of one bucket, of different components and likely alike, from rows sorted by bucket and signature."""
+    """Each row of a bucket with the NEAR before it, if sizes and signatures do not rule it out; rows sorted by bucket and signature."""
     least = _cut(percent)
 
     def run(batches):
-        last = None
+        held = None
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            bucket, rep, c, size = (np.asarray(batch.column(k)) for k in ("bucket", "rep", "c", "n_shingles"))
-            sig = batch.column("sig").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            if last is not None:
-                bucket, rep, c, size, sig = (np.concatenate([x, y]) for x, y in zip(last, (bucket, rep, c, size, sig), strict=True))
-            last = tuple(x[-1:] for x in (bucket, rep, c, size, sig))
-            small, large = np.minimum(size[1:], size[:-1]), np.maximum(size[1:], size[:-1])
-            good = (bucket[1:] == bucket[:-1]) & (c[1:] != c[:-1]) & (100 * small >= percent * large)
-            good &= (sig[1:] == sig[:-1]).sum(1) >= least
-            a, b = rep[:-1][good], rep[1:][good]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            now = [np.asarray(batch.column(k)) for k in ("bucket", "rep", "n_shingles")] + [_bytes(batch.column("sig"))]
+            old = 0 if held is None else len(held[0])
+            bucket, rep, size, sig = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            held = [x[-NEAR:] for x in (bucket, rep, size, sig)]
+            for back in range(1, NEAR + 1):
+                j = np.arange(max(old, back), len(bucket))
+                i = j - back
+                good = (bucket[i] == bucket[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+                i, j = i[good], j[good]
+                good = (sig[i] == sig[j]).sum(1) >= least
+                x, y = rep[i[good]], rep[j[good]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
 
@@ -141,7 +162,7 @@ def _neighbours(percent: int):
 def classes(docs: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: components of links with 100 * shared >= percent * all."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stash(known.mapInArrow(_signatures(k), _SIGNATURE), "signatures")
+    rows = stash(known.transform(arrow, _signatures(k), _SIGNATURE), "signatures")
     real = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     same = real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     equal = stash(real.select("doc_id", "s1", "s2", "n_shingles").join(same, ["s1", "s2", "n_shingles"]).select("doc_id", "rep").distinct(), "equal-sets")
@@ -151,42 +172,40 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
     bands = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     mine = bands.join(shared, "key").groupBy("rep").agg(F.collect_list(F.when(F.col("band") < TABLES, F.col("key"))).alias("one"), F.collect_list(F.when(F.col("band") >= TABLES, F.col("key"))).alias("two"))
-    met = mine.where("size(one) > 0 AND size(two) > 0").withColumn("one", F.explode("one")).withColumn("two", F.explode("two")).select("rep", F.xxhash64("one", "two").alias("bucket"))
-    sizes = met.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("least")).where("members > 1")
-    # One row for each class and bucket that it shares; the signature stays in a table of its own.
+    mine = mine.where("size(one) > 0 AND size(two) > 0").join(reps.select("rep", "n_shingles", "sig"), "rep")
+    met = mine.withColumn("one", F.explode("one")).withColumn("two", F.explode("two")).select("rep", "n_shingles", "sig", F.xxhash64("one", "two").alias("bucket"))
+    sizes = stash(met.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("least")).where("members > 1"), "bucket-sizes")
+    # One row for each class and bucket that it shares; as sizes is a table of its own, Spark can split a hot bucket in the join.
     in_bucket = stash(met.join(sizes, "bucket"), "buckets")
-    alike = stash(reps.join(in_bucket.select("rep").distinct(), "rep").select("rep", "n_shingles", "sig"), "alike")
-    sets = stash(known.join(alike.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets(k), "doc_id long, set binary").dropDuplicates(["doc_id", "set"]), "sets")
+    alike = stash(in_bucket.select("rep", "n_shingles", "sig").distinct(), "alike")
+    sets = stash(known.join(alike.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").transform(arrow, _sets(k), "doc_id long, set binary").dropDuplicates(["doc_id", "set"]), "sets")
 
     def likely(pairs: DataFrame) -> DataFrame:
         sides = {s: alike.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}")) for s in "ab"}
-        sized = pairs.where("a < b").distinct().join(sides["a"], "a").join(sides["b"], "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        equal_values = F.expr("aggregate(zip_with(sig_a, sig_b, (x, y) -> if(x = y, 1, 0)), 0, (t, x) -> t + x)")
-        return sized.where(equal_values >= _cut(percent)).select("a", "b")
+        return pairs.where("a < b").distinct().join(sides["a"], "a").join(sides["b"], "b").transform(arrow, _alike(percent), "a long, b long")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         full = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set": "set_b"}), "b")
-        return full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long")
+        return full.select("a", "b", "set_a", "set_b").transform(arrow, _confirmed(percent), "a long, b long")
 
     star = in_bucket.where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b"))
     small = in_bucket.where((F.col("members") <= SMALL) & (F.col("members") > 2)).groupBy("bucket").agg(F.array_sort(F.collect_set("rep")).alias("x"))
     each = small.select(F.posexplode("x").alias("i", "a"), "x").select("a", F.explode(F.slice("x", F.col("i") + 2, SMALL)).alias("b"))
     links = stash(confirm(likely(star.union(each))), "links")
-    turn = 0
-    while True:
-        merged = stash(components(equal.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(links), "near-components"), "near-merged")
-        label = merged.select(F.col("id").alias("rep"), F.col("component_id").alias("c"))
-        large = in_bucket.where(F.col("members") > SMALL).join(label, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-        open_ = large.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("bucket")
-        rotated = F.expr(f"pmod(bucket + {7 * turn}, {len(_MULT)})").cast("int")
-        order = F.concat(F.slice("sig", rotated + 1, F.lit(len(_MULT))), F.slice("sig", F.lit(1), rotated))
-        queue = large.join(open_, "bucket").join(alike.select("rep", "n_shingles", "sig"), "rep").select("bucket", "rep", "c", "n_shingles", "sig", order.alias("o"))
-        pairs = queue.repartitionByRange("bucket", "o").sortWithinPartitions("bucket", "o", "rep").drop("o").mapInArrow(_neighbours(percent), "a long, b long")
-        more = stash(confirm(pairs.distinct()), "links")
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        turn += 1
+    near = None
+    for turn in range(2):
+        cut = F.pmod(F.col("bucket") + turn * len(_MULT) // 2, F.lit(len(_MULT))).cast("int")
+        order = F.concat(F.expr("substring(sig, 1 + _c, 32)"), F.expr("substring(sig, 1, _c)"))
+        queue = in_bucket.where(F.col("members") > SMALL).withColumn("_c", cut).select("bucket", "rep", "n_shingles", "sig", order.alias("o"))
+        found = queue.repartitionByRange("bucket", "o").sortWithinPartitions("bucket", "o", "rep").drop("o").transform(arrow, _neighbours(percent), "a long, b long")
+        near = found if near is None else near.union(found)
+    near = stash(near.where("a < b").distinct(), "neighbours")
+    mine_too = equal.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    so_far = stash(components(mine_too.union(links), "near-components"), "near-merged")
+    label = {s: so_far.select(F.col("id").alias(f"_{s}"), F.col("component_id").alias(f"c_{s}")) for s in "ab"}
+    open_ = near.join(label["a"], F.col("a") == F.col("_a"), "left").join(label["b"], F.col("b") == F.col("_b"), "left")
+    more = stash(confirm(open_.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")), "links")
+    merged = stash(components(mine_too.union(links).union(more), "near-components"), "near-merged")
     for done in (in_bucket, alike, sets):
         drop_stash(done)
     out = rows.select("doc_id", "n_shingles").join(merged.withColumnRenamed("id", "doc_id"), "doc_id", "left")
