@@ -7,10 +7,11 @@ probability (1 - (1 - s**r)**m)**2: 0.99993 at 0.85, 0.9994 at 0.8.
 
 A combination can only be shared by documents that share both of its keys, so keys that just one document has
 are dropped before combining. Documents with equal sets are one class from the start. In each bucket every
-class is compared with the bucket's smallest id, in small buckets with all others. In larger buckets it is also compared with those next to it in two
-orders of their signatures (rotated by bucket, so that neighbours share the longest signature prefix), as far as
-the first comparisons have not put the two into one component. All steps make a number of pairs in proportion to bucket rows, however large a group
-is. Every link is confirmed on the full sets.
+class is compared with the bucket's smallest id, in small buckets with all others. Larger buckets of which that
+leaves more than one component are dealt into blocks of bounded size, and the classes outside the bucket's largest
+component are compared with all others, two blocks at a time; a pair that meets in several buckets is compared in one
+of them, unless it is in one component by then. What comes out of two blocks is at most one link for each
+component that goes, however many pairs there are. Every link is confirmed on the full sets.
 
 Defined results: a null or empty text, or one of white space, has no shingles and links with nothing; a text of
 fewer words than a shingle is one shingle; rows with a null id link with nothing and have a null component_id;
@@ -25,13 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm.common import arrow, components, drop_stash, stash, table
+from tarnlake.llm.lattice import runs_of
 from tarnlake.llm.textscan import LOWER, Runs, U, Words, distinct_per_text, mix, pieces, texts
 
 SHINGLE = 5
 TABLES = 8  # keys in each of the two collections
 VALUES = 2  # minhashes in a key
 SMALL = 6  # buckets up to this size are compared pair by pair
-NEAR = 3  # rows looked back at in larger buckets, in each of two orders
+SCREEN_ROWS = 4096  # rows in a block of a larger bucket, by signatures
+BLOCK_ROWS = 512  # rows and shingles in a block of it, by sets
+BLOCK_SHINGLES = 1 << 18
 _MULT = mix(np.arange(1, 2 * TABLES * VALUES + 1, dtype=U)) | U(1)
 _XOR = mix(np.arange(101, 2 * TABLES * VALUES + 101, dtype=U))
 
@@ -134,27 +138,80 @@ def _alike(percent: int):
     return run
 
 
-def _neighbours(percent: int):
-    """Each row of a bucket with the NEAR before it, if sizes and signatures do not rule it out; rows sorted by bucket and signature."""
+def _likely(batches, percent: int):
+    """Pairs to test of two blocks of a bucket, its rows on side 0 and those outside its largest component on side 1: the group, two row numbers and the number of equal signature values.
+
+    A pair is tested in one bucket only: the first of the tables i = j that it shares, else the first of all.
+    """
     least = _cut(percent)
+    for group in runs_of(batches, ["bucket", "p", "q"]):
+        group = group.combine_chunks()
+        side = np.asarray(group.column("side"))
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(x) or not len(y):
+            continue
+        rep, size, comp, main = (np.asarray(group.column(c)) for c in ("rep", "n_shingles", "comp", "main"))
+        one, two = divmod(group.column("table")[0].as_py(), TABLES)
+        sig = _bytes(group.column("sig"))
+        keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, 2 * TABLES)
+        found = []
+        for j in y:
+            i = x[(comp[x] != comp[j]) & ((comp[x] == main[j]) | (rep[x] < rep[j])) & (100 * np.minimum(size[x], size[j]) >= percent * np.maximum(size[x], size[j]))]
+            equal = (sig[i] == sig[j]).sum(1)
+            i, equal = i[equal >= least], equal[equal >= least]
+            same = keys[i] == keys[j]
+            both = same[:, :TABLES] & same[:, TABLES:]
+            if one == two:
+                here = both.argmax(1) == one
+            else:
+                here = ~both.any(1) & (same[:, :TABLES].argmax(1) == one) & (same[:, TABLES:].argmax(1) == two)
+            found.append((np.full(here.sum(), j), i[here], equal[here]))
+        j, i, equal = (np.concatenate(c) for c in zip(*found, strict=True))
+        if len(j):
+            yield group, j, i, equal
+
+
+def _open(percent: int):
+    """Rows of a bucket that have a pair to test."""
 
     def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [np.asarray(batch.column(k)) for k in ("bucket", "rep", "n_shingles")] + [_bytes(batch.column("sig"))]
-            old = 0 if held is None else len(held[0])
-            bucket, rep, size, sig = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            held = [x[-NEAR:] for x in (bucket, rep, size, sig)]
-            for back in range(1, NEAR + 1):
-                j = np.arange(max(old, back), len(bucket))
-                i = j - back
-                good = (bucket[i] == bucket[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
-                i, j = i[good], j[good]
-                good = (sig[i] == sig[j]).sum(1) >= least
-                x, y = rep[i[good]], rep[j[good]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+        for group, j, i, _ in _likely(batches, percent):
+            some = pa.array(np.union1d(i, j))
+            yield from group.select(["bucket", "rep", "n_shingles", "sig"]).take(some).to_batches()
+
+    return run
+
+
+def _blocks(percent: int):
+    """Links that join two components. Pairs joined by what the group has found so far are left out; likely ones come first."""
+
+    def run(batches):
+        for group, j, i, equal in _likely(batches, percent):
+            rep, comp = (np.asarray(group.column(c)) for c in ("rep", "comp"))
+            sets = [np.frombuffer(b, U) for b in group.column("set").to_pylist()]
+            ends = np.cumsum([len(b) for b in sets])
+            known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+            ids = np.split(ids, ends[:-1])
+            marked = np.zeros(len(known), bool)
+            label = comp.copy()
+            links = []
+            order = np.lexsort((j, -equal))
+            cuts = np.flatnonzero((np.diff(equal[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+            for part in np.split(order, cuts):
+                right, left = j[part[0]], i[part]
+                left = left[label[left] != label[right]]
+                if not len(left):
+                    continue
+                marked[ids[right]] = True
+                n = np.array([len(ids[k]) for k in left])
+                shared = np.add.reduceat(marked[np.concatenate([ids[k] for k in left])], np.cumsum(n) - n, dtype=np.int64)
+                marked[ids[right]] = False
+                for k in left[100 * shared >= percent * (n + len(ids[right]) - shared)]:
+                    if label[k] != label[right]:
+                        links.append((min(rep[k], rep[right]), max(rep[k], rep[right])))
+                        label[label == label[k]] = label[right]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
     return run
 
@@ -171,9 +228,9 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
     # Band keys that more than one class has, and their combinations.
     bands = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    mine = bands.join(shared, "key").groupBy("rep").agg(F.collect_list(F.when(F.col("band") < TABLES, F.col("key"))).alias("one"), F.collect_list(F.when(F.col("band") >= TABLES, F.col("key"))).alias("two"))
+    mine = bands.join(shared, "key").groupBy("rep").agg(F.collect_list(F.when(F.col("band") < TABLES, F.struct("key", "band"))).alias("one"), F.collect_list(F.when(F.col("band") >= TABLES, F.struct("key", "band"))).alias("two"))
     mine = mine.where("size(one) > 0 AND size(two) > 0").join(reps.select("rep", "n_shingles", "sig"), "rep")
-    met = mine.withColumn("one", F.explode("one")).withColumn("two", F.explode("two")).select("rep", "n_shingles", "sig", F.xxhash64("one", "two").alias("bucket"))
+    met = mine.withColumn("one", F.explode("one")).withColumn("two", F.explode("two")).select("rep", "n_shingles", "sig", F.xxhash64("one.key", "two.key").alias("bucket"), (F.col("one.band") * TABLES + F.col("two.band") - TABLES).alias("table"))
     sizes = stash(met.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("least")).where("members > 1"), "bucket-sizes")
     # One row for each class and bucket that it shares; as sizes is a table of its own, Spark can split a hot bucket in the join.
     in_bucket = stash(met.join(sizes, "bucket"), "buckets")
@@ -192,20 +249,40 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
     small = in_bucket.where((F.col("members") <= SMALL) & (F.col("members") > 2)).groupBy("bucket").agg(F.array_sort(F.collect_set("rep")).alias("x"))
     each = small.select(F.posexplode("x").alias("i", "a"), "x").select("a", F.explode(F.slice("x", F.col("i") + 2, SMALL)).alias("b"))
     links = stash(confirm(likely(star.union(each))), "links")
-    near = None
-    for turn in range(2):
-        cut = F.pmod(F.col("bucket") + turn * len(_MULT) // 2, F.lit(len(_MULT))).cast("int")
-        order = F.concat(F.expr("substring(sig, 1 + _c, 32)"), F.expr("substring(sig, 1, _c)"))
-        queue = in_bucket.where(F.col("members") > SMALL).withColumn("_c", cut).select("bucket", "rep", "n_shingles", "sig", order.alias("o"))
-        found = queue.repartitionByRange("bucket", "o").sortWithinPartitions("bucket", "o", "rep").drop("o").transform(arrow, _neighbours(percent), "a long, b long")
-        near = found if near is None else near.union(found)
-    near = stash(near.where("a < b").distinct(), "neighbours")
     mine_too = equal.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    so_far = stash(components(mine_too.union(links), "near-components"), "near-merged")
-    label = {s: so_far.select(F.col("id").alias(f"_{s}"), F.col("component_id").alias(f"c_{s}")) for s in "ab"}
-    open_ = near.join(label["a"], F.col("a") == F.col("_a"), "left").join(label["b"], F.col("b") == F.col("_b"), "left")
-    more = stash(confirm(open_.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")), "links")
-    merged = stash(components(mine_too.union(links).union(more), "near-components"), "near-merged")
+    merged = stash(components(mine_too.union(links), "near-components"), "near-merged")
+    large = in_bucket.where(F.col("members") > SMALL)
+    diagonal = F.col("table") % (TABLES + 1) == 0
+
+    def dealt(rows: DataFrame, most: int, weight: int) -> DataFrame:
+        """Rows of buckets, block by block: all on side 0, those outside the largest component on side 1."""
+        minor = F.col("comp") != F.col("main")
+        blocks = lambda n, w: F.ceil(F.greatest(n / most, w / weight)).cast("int")
+        per = rows.groupBy("bucket").agg(blocks(F.count("*"), F.sum("n_shingles")).alias("ps"), blocks(F.count_if(minor), F.sum(F.when(minor, F.col("n_shingles")))).alias("qs"))
+        block = lambda n: F.pmod(F.xxhash64("rep", "bucket"), F.col(n)).cast("int")
+        placed = rows.join(per, "bucket").withColumn("p", block("ps")).withColumn("q", block("qs"))
+        every = placed.withColumn("q", F.explode(F.expr("sequence(0, qs - 1)"))).withColumn("side", F.lit(0))
+        rest = placed.where(minor).withColumn("p", F.explode(F.expr("sequence(0, ps - 1)"))).withColumn("side", F.lit(1))
+        return every.unionByName(rest).drop("ps", "qs")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+
+    for turn in (large.where(diagonal), large.where(~diagonal)):
+        now = turn.join(merged.select(F.col("id").alias("rep"), F.col("component_id").alias("c")), "rep", "left").select("bucket", "table", "rep", "n_shingles", "sig", F.coalesce("c", "rep").alias("comp"))
+        parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+        split = stash(parts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps"), "open-buckets")
+        rows_ = stash(now.join(split, "bucket").join(reps.select("rep", "n_shingles", "sig", "keys"), ["rep", "n_shingles", "sig"]), "open-rows")
+        some = stash(grouped(dealt(rows_, SCREEN_ROWS, 1 << 62)).transform(arrow, _open(percent), "bucket long, rep long, n_shingles long, sig binary").distinct(), "open-pairs")
+        if some.isEmpty():
+            drop_stash(rows_)
+            continue
+        wanted = dealt(rows_.join(some, ["bucket", "rep", "n_shingles", "sig"], "left_semi"), BLOCK_ROWS, BLOCK_SHINGLES)
+        dealt_ = grouped(wanted.join(sets.withColumnRenamed("doc_id", "rep"), "rep").where("octet_length(set) = 8 * n_shingles"))
+        more = stash(dealt_.transform(arrow, _blocks(percent), "a long, b long"), "links")
+        drop_stash(rows_)
+        if not more.isEmpty():
+            merged = stash(components(merged.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more), "near-components"), "near-merged")
     for done in (in_bucket, alike, sets):
         drop_stash(done)
     out = rows.select("doc_id", "n_shingles").join(merged.withColumnRenamed("id", "doc_id"), "doc_id", "left")

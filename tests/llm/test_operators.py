@@ -200,6 +200,27 @@ def test_neardup_large_group(spark):
     assert {x["doc_id"]: x["component_id"] for x in got} == want
 
 
+@pytest.mark.parametrize("block", [512, 64])
+def test_neardup_hub_of_large_id(spark, monkeypatch, block):
+    """300 copies that reach 0.85 with one original only, which has an id in the middle."""
+    for k in ("BLOCK_ROWS", "SCREEN_ROWS"):
+        monkeypatch.setattr(neardup, k, block, raising=False)
+    r = random.Random(2)
+    base = [f"w{r.random()}" for _ in range(254)]
+
+    def copy():
+        w = list(base)
+        for k in range(3):
+            w[r.randrange(10 + 80 * k, 70 + 80 * k)] = "new" + str(r.random())
+        return " ".join(w)
+
+    rows = [(i, " ".join(base) if i == 150 else copy()) for i in range(301)] + [(1000 + i, prose(80, r)) for i in range(30)]
+    s = {i: sets(t) for i, t in rows}
+    want = linked(sorted(s), lambda i, j: 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j]))
+    got = neardup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == want
+
+
 def test_substring(docs, none):
     first, texts = {}, []
     for r in ROWS:
