@@ -79,7 +79,7 @@ def _signatures(k: int):
                         key = mix(key * U(31) ^ low[:, j * VALUES + t])
                     band[:, j] = key
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, band.shape[1], dtype=np.int32)), pa.array(band.view(np.int64).ravel()))
-                sig = pa.array([x.tobytes() for x in (low >> U(56)).astype(np.uint8)], pa.binary())
+                sig = pa.array([x.tobytes() for x in (mix(low) >> U(56)).astype(np.uint8)], pa.binary())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(size.astype(np.int64)), *(pa.array(sums[:, j].copy().view(np.int64)) for j in range(2)), keys, sig], names=["doc_id", "n_shingles", "s1", "s2", "keys", "sig"])
 
     return run

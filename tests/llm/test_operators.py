@@ -221,6 +221,17 @@ def test_neardup_hub_of_large_id(spark, monkeypatch, block):
     assert {x["doc_id"]: x["component_id"] for x in got} == want
 
 
+def test_neardup_signatures_of_long_texts_differ(spark):
+    """The minima of long texts are all small numbers; the signature must tell them apart."""
+    r = random.Random(3)
+    rows = [(i, " ".join(str(r.random()) for _ in range(2000))) for i in range(6)]
+    rows.append((6, rows[0][1] + " one more"))
+    got = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).mapInArrow(neardup._signatures(5), neardup._SIGNATURE).collect()
+    sig = {x["doc_id"]: np.frombuffer(x["sig"], np.uint8) for x in got}
+    assert max((sig[i] == sig[j]).sum() for i in range(6) for j in range(i)) <= 4
+    assert (sig[0] == sig[6]).sum() >= 28
+
+
 def test_substring(docs, none):
     first, texts = {}, []
     for r in ROWS:
