@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions import rules
+from tarnlake.operators.graph import flatten_chains
 
 
 def signals(text: Column, patterns: dict[str, str] | None = None) -> dict[str, Column]:
@@ -67,14 +68,10 @@ def coverage(df: DataFrame, keys: list[str], categories: list[str]) -> DataFrame
     return long_.groupBy(*keys, "category").agg(n.alias("total"), c.alias("covered"), F.floor((c * 20000 + n) / (n * 2)).cast("long").alias("rate_1e4"), F.bool_or("has").alias("has_any"), F.bool_and("has").alias("has_full"))
 
 
-def climb(pages: DataFrame, page: str, parent: str, stops: DataFrame, stop: str, most: int = 12) -> DataFrame:
-    """(page, stop): for each page the first of the stop pages on its way up; none for those that reach none or run in a cycle."""
-    edges = pages.select(F.col(page).alias("p"), F.col(parent).alias("up"))
-    ends = stops.select(F.col(stop).alias("s")).distinct()
-    walk = edges.select(F.col("p").alias("page"), F.col("p").alias("at"))
-    found = None
-    for _ in range(most):
-        there = walk.join(ends, F.col("at") == F.col("s")).select("page", F.col("s").alias("stop"))
-        found = there if found is None else found.union(there)
-        walk = walk.join(ends, F.col("at") == F.col("s"), "left_anti").join(edges, F.col("at") == F.col("p")).where("up IS NOT NULL AND up <> page").select("page", F.col("up").alias("at"))
-    return found
+def climb(pages: DataFrame, page: str, parent: str, stops: DataFrame, stop: str) -> DataFrame:
+    """(page, stop): for each page the first of the stop pages on its way up, however long; none for those that reach none or run in a cycle."""
+    ends = stops.select(F.col(stop).alias("stop")).distinct()
+    up = pages.select(F.col(page).alias("id"), F.col(parent).alias("next"))
+    # A chain ends at its first stop; a cycle holds none, so its root is no stop.
+    cut = up.join(ends, F.col("id") == F.col("stop"), "left").select("id", F.when(F.col("stop").isNull(), F.col("next")).alias("next"))
+    return flatten_chains(cut, "climb").join(ends, F.col("root") == F.col("stop")).select(F.col("id").alias("page"), "stop")

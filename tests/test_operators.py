@@ -3,7 +3,7 @@ import gzip
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnlake.operators import dedup, graph, joins, packages, ranking, resolve
+from tarnlake.operators import dedup, evidence, graph, joins, packages, ranking, resolve
 from tarnlake.sources import readers, sinks
 from tarnlake.streaming import state
 
@@ -29,6 +29,13 @@ def test_chains(spark):
     assert pairs(graph.flatten_chains(df)) == [(1, 3), (2, 3), (3, 3), (4, 3), (7, 7), (8, 7), (9, 7)]
 
 
+def test_climb_has_no_bound(spark):
+    up = [(i, i - 1) for i in range(1, 41)] + [(0, None), (50, 51), (51, 52), (52, 51), (60, None), (61, 60), (70, 71)]
+    stops = spark.createDataFrame([(0,), (20,), (71,)], "s long")
+    got = evidence.climb(spark.createDataFrame(up, "p long, up long"), "p", "up", stops, "s")
+    assert pairs(got) == [(i, 0 if i < 20 else 20) for i in range(41)] + [(70, 71)]
+
+
 def test_components(spark):
     df = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 5)], "a long, b long")
     assert pairs(graph.components(df, "t")) == [(3, 3), (4, 3), (5, 3), (8, 8), (9, 8)]
