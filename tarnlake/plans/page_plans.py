@@ -30,7 +30,7 @@ def slug_and_fold(spark, d):
 
 @query()
 def name_keys(spark, d):
-    rows = parquet(spark, d, "documents").select("doc_id", F.substring_index("text", ".", 1).alias("t")).withColumn("ascii", text.fold_ascii(text.html_unescape("t"))).withColumn("plain", text.strip_marks("t"))
+    rows = parquet(spark, d, "documents").select("doc_id", F.col("text").alias("t")).withColumn("ascii", text.fold_ascii(text.html_unescape("t"))).withColumn("plain", text.strip_marks("t"))
     return rows.select("doc_id", text.name_key(F.col("ascii")).alias("name_key"), text.alias_key(F.col("ascii")).alias("alias_key"), text.token_key(F.col("plain")).alias("token_key"), text.compact_key(F.col("plain")).alias("compact_key"))
 
 
