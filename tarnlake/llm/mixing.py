@@ -10,9 +10,14 @@ The exchanges form a reduction tree: documents are dealt into blocks of about `b
 each block down to one residual, the residuals are dealt into blocks again, until each source has one block.
 No block grows with its source. Random numbers are hashes of what meets, so reruns agree.
 
+Equal rows (k of them) exchange among themselves first: with equal masses p that leaves floor(k * p) whole ones and
+one residual, so a group of any size enters the tree as one document, and how many of it are taken once more is
+a number beside its count.
+
 Defined results: a null text has size 0; null sources are one source, last in the order; documents of size 0
-are taken 0 times; rows equal in doc_id, source and size are rounded as one, so all get the same count, and
-each is returned; null ids are like any other; an empty table gives no rows.
+are taken 0 times; of equal rows some may be taken once more than the others, and each is returned; null ids are
+like any other; an empty table gives no rows. The table of sources (one small row each) is worked through by one
+task; it holds some millions of sources.
 """
 
 from __future__ import annotations
@@ -27,9 +32,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 
 
+def _size(text: str = "text"):
+    return F.size(F.expr(f"regexp_extract_all(coalesce({text}, ''), r'{WORD}', 0)")).cast("long")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size of every document, the words of its whole text."""
-    return docs.select("doc_id", "source", F.size(F.expr(f"regexp_extract_all(coalesce(text, ''), r'{WORD}', 0)")).cast("long").alias("size"))
+    """doc_id, source, size (words of the whole text) and row, a hash of all columns, of every document."""
+    return docs.select("doc_id", "source", _size().alias("size"), F.xxhash64(*(f"`{c}`" for c in docs.columns)).alias("row"))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -56,21 +65,23 @@ def _coin(a: str, b: str, seed: int) -> str:
     return f"((xxhash64({a}, {b}, {seed}) & 4503599627370495L) / 4503599627370496D)"
 
 
-_ITEM = "struct<o:double,h:bigint,doc_id:bigint,size:bigint,w:double,m:double>"
-_OUT = "array<struct<doc_id:bigint,size:bigint,up:int>>"
+_ITEM = "struct<o:double,h:bigint,row:bigint,size:bigint,w:double,m:double>"
+_OUT = "array<struct<row:bigint,size:bigint,up:int>>"
+#: Equal rows that one step numbers; more are dealt into blocks first.
+_NUMBERED = 4096
 
 
 def _fold(seed: int) -> str:
     """SQL: the items of a block, in order, to one residual (null once all are whole) and the decided ones.
 
-    An item has weight w (words of all its copies) and mass m, of which 0 < m < w. a is what can move from
+    An item has weight w (its words) and mass m, of which 0 < m < w. a is what can move from
     the new item to the residual, b the other way round; moving a with odds b / (a + b), else b back, keeps
     both expectations, and makes one of the two whole.
     """
     eps = "1e-9"
-    decide = lambda item, m: f"named_struct('doc_id', {item}.doc_id, 'size', {item}.size, 'up', if({m} > {item}.w / 2, 1, 0))"
+    decide = lambda item, m: f"named_struct('row', {item}.row, 'size', {item}.size, 'up', if({m} > {item}.w / 2, 1, 0))"
     whole = lambda item, m: f"({m} <= {eps} * {item}.w OR {m} >= (1 - {eps}) * {item}.w)"
-    hold = lambda item, m: f"named_struct('o', {item}.o, 'h', {item}.h, 'doc_id', {item}.doc_id, 'size', {item}.size, 'w', {item}.w, 'm', {m})"
+    hold = lambda item, m: f"named_struct('o', {item}.o, 'h', {item}.h, 'row', {item}.row, 'size', {item}.size, 'w', {item}.w, 'm', {m})"
     none = f"cast(null AS {_ITEM})"
     settled = f"""CASE
         WHEN {whole("s.r", "s.rm")} AND {whole("s.x", "s.xm")} THEN named_struct('r', {none}, 'out', array_append(array_append(s.out, {decide("s.r", "s.rm")}), {decide("s.x", "s.xm")}))
@@ -81,17 +92,19 @@ def _fold(seed: int) -> str:
     return f"""aggregate(items, named_struct('r', {none}, 'out', cast(array() AS {_OUT})), (acc, x) -> CASE WHEN acc.r IS NULL THEN named_struct('r', {hold("x", "x.m")}, 'out', acc.out) ELSE {met} END)"""
 
 
-def mix(docs: DataFrame, block: int = 64, seed: int = 11, **shares) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies, taken: one row for each row of docs."""
-    rows = stash(sizes(docs).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "mix-sizes")
+def groups(docs: DataFrame, block: int = 64, seed: int = 11, **shares) -> DataFrame:
+    """One row for each group of equal rows: doc_id, source, size, row, rows, source_size, target, whole (copies of each), ups (how many of them are taken once more)."""
+    rows = stash(sizes(docs).groupBy("doc_id", "source", "size", "row").agg(F.count("*").alias("rows")), "mix-sizes")
     total = rows.select("source", (F.col("size") * F.col("rows")).alias("size"))
     goal = stash(targets(total, **shares), "mix-targets")  # one row per source
     planned = rows.join(goal, rows["source"].eqNullSafe(goal["source"])).drop(goal["source"])
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    planned = planned.withColumn("each", each).withColumn("whole", F.floor("each")).withColumn("part", F.col("each") - F.col("whole"))
-    open_ = planned.where((F.col("size") > 0) & (F.col("part") > 1e-12))
-    weight = (F.col("size") * F.col("rows")).cast("double")
-    items = open_.select("source", F.struct((-weight).alias("o"), F.xxhash64("doc_id", "size", F.lit(seed)).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "size", weight.alias("w"), (weight * F.col("part")).alias("m")).alias("x"))
+    planned = planned.withColumn("each", F.when(F.col("size") > 0, each).otherwise(F.lit(0.0))).withColumn("whole", F.floor("each"))
+    planned = planned.withColumn("part", F.col("rows") * (F.col("each") - F.col("whole"))).withColumn("sure", F.floor(F.col("part") + 1e-9))
+    open_ = planned.where(F.col("part") - F.col("sure") > 1e-9)
+    weight = F.col("size").cast("double")
+    item = F.struct((-weight).alias("o"), F.xxhash64("row", F.lit(seed)).alias("h"), "row", "size", weight.alias("w"), (weight * (F.col("part") - F.col("sure"))).alias("m"))
+    items = open_.select("source", item.alias("x"))
     n = open_.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     decided, level = None, 0
     while n:
@@ -105,26 +118,45 @@ def mix(docs: DataFrame, block: int = 64, seed: int = 11, **shares) -> DataFrame
         items = folded.where("r IS NOT NULL").select("source", F.col("r").alias("x"))
         level += 1
         if n == 1:
-            decided = decided.union(items.select("source", "x.doc_id", "x.size", F.expr("if(2 * x.m >= x.w, 1, 0)")))
+            decided = decided.union(items.select("source", "x.row", "x.size", F.expr("if(2 * x.m >= x.w, 1, 0)")))
             break
     if decided is None:
-        decided = items.select("source", "x.doc_id", "x.size", F.lit(0).alias("up"))
-    d = decided.toDF("d_source", "d_id", "d_size", "up")
-    same = planned["source"].eqNullSafe(d["d_source"]) & planned["doc_id"].eqNullSafe(d["d_id"]) & (planned["size"] == d["d_size"])
-    copies = (F.col("whole") + F.coalesce("up", F.lit(0))).cast("int")
-    out = planned.join(d, same, "left").withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
-    out = out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "rows")
-    return out.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("i", "rows")
+        decided = items.select("source", "x.row", "x.size", F.lit(0).alias("up"))
+    d = decided.toDF("d_source", "d_row", "d_size", "up")
+    same = planned["source"].eqNullSafe(d["d_source"]) & (planned["row"] == d["d_row"]) & (planned["size"] == d["d_size"])
+    ups = F.col("sure") + F.coalesce("up", F.lit(0))
+    return planned.join(d, same, "left").select("doc_id", "source", "size", "row", "rows", "source_size", "target", "whole", ups.alias("ups"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source, source_size, target, copies, taken: one row for each row of docs."""
+    found = groups(docs, **options)
+    blocks = found.withColumn("first", F.explode(F.expr(f"sequence(0L, rows - 1, {_NUMBERED}L)")))
+    each = blocks.withColumn("i", F.explode(F.expr(f"sequence(first, least(first + {_NUMBERED}, rows) - 1)")))
+    copies = (F.col("whole") + F.when(F.col("i") < F.col("ups"), 1).otherwise(0)).cast("int")
+    return each.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as many times as the mix takes it, with their columns."""
-    n = mix(docs, **options).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies").where("copies > 0").distinct()
-    size = F.size(F.expr(f"regexp_extract_all(coalesce(text, ''), r'{WORD}', 0)")).cast("long")
-    known = docs.withColumn("_size", size)
-    same = known["doc_id"].eqNullSafe(n["m_id"]) & known["source"].eqNullSafe(n["m_source"]) & (known["_size"] == n["m_size"])
-    out = known.join(n, same).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*(f"`{c}`" for c in docs.columns))
+    n = stash(groups(docs, **options).select(F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.col("row").alias("m_row"), "rows", "whole", "ups").where("whole > 0 OR ups > 0"), "mix-copies")
+    columns = [f"`{c}`" for c in docs.columns]
+    known = docs.withColumns({"_size": _size(), "_row": F.xxhash64(*columns)})
+
+    def joined(some: DataFrame) -> DataFrame:
+        return known.join(some, known["source"].eqNullSafe(some["m_source"]) & (known["_size"] == some["m_size"]) & (known["_row"] == some["m_row"]))
+
+    def times(rows: DataFrame, copies) -> DataFrame:
+        return rows.withColumn("_c", copies.cast("int")).where("_c > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*columns)
+
+    out = times(joined(n), F.col("whole") + F.when(F.col("rows") == 1, F.col("ups")).otherwise(0))
+    repeated = n.where("rows > 1 AND ups > 0")
+    if repeated.isEmpty():
+        return out
+    # Which of some equal rows is taken once more makes no difference: one of them stands for all that are.
+    extra = joined(repeated).dropDuplicates(docs.columns)
+    blocks = extra.withColumn("_f", F.explode(F.expr(f"sequence(0L, ups - 1, {_NUMBERED}L)")))
+    return out.union(times(blocks, F.least(F.col("ups") - F.col("_f"), F.lit(_NUMBERED))))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

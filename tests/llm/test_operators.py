@@ -94,6 +94,20 @@ def test_mixing_keeps_each_expectation(spark):
     assert abs(sum(r["taken"] for r in a) - a[0]["target"]) <= 5
 
 
+def test_mixing_of_equal_rows(spark):
+    """200 rows without ids, 5,000 copies of one row and 40 others: the words taken still come near each target."""
+    rows = [(None, "a", "w " * 100, "x")] * 200 + [(7, "b", "v " * 10, "y")] * 5000 + [(100 + i, "c", "u " * (50 + i), "z") for i in range(40)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, source string, text string, lang string").repartition(3)
+    got = mixing.mix(docs_).collect()
+    assert len(got) == len(rows)
+    for s, largest in (("a", 100), ("b", 10), ("c", 89)):
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= largest and all(r["taken"] <= 2 * r["size"] for r in mine)
+    out = mixing.mixed(docs_)
+    words = {r["source"]: r["n"] for r in out.selectExpr("source", "size(split(trim(text), ' ')) AS k").groupBy("source").agg({"k": "sum"}).toDF("source", "n").collect()}
+    assert words == {s: sum(r["taken"] for r in got if r["source"] == s) for s in "abc"}
+
+
 def test_secrets(docs, none):
     import re
 
