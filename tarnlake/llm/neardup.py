@@ -20,6 +20,8 @@ rows of one id are one document; repeated rows are returned each; ties go to the
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +38,7 @@ SMALL = 6  # buckets up to this size are compared pair by pair
 SCREEN_ROWS = 4096  # rows in a block of a larger bucket, by signatures
 BLOCK_ROWS = 512  # rows and shingles in a block of it, by sets
 BLOCK_SHINGLES = 1 << 18
+LARGE = 64  # rows of equal sets from which a class may be joined by broadcast
 _MULT = mix(np.arange(1, 2 * TABLES * VALUES + 1, dtype=U)) | U(1)
 _XOR = mix(np.arange(101, 2 * TABLES * VALUES + 101, dtype=U))
 
@@ -114,9 +117,12 @@ def _confirmed(percent: int):
 
 
 def _cut(percent: int) -> int:
-    """Equal signature values that all but about one in 10^4 pairs at the threshold have: four standard errors below the mean."""
+    """The most equal signature values that all but one in 10^6 pairs at the threshold have (a binomial tail)."""
     n, p = len(_MULT), percent / 100
-    return int(n * p - 4.2 * (n * p * (1 - p)) ** 0.5)
+    below, least = 0.0, 0
+    while (below := below + math.comb(n, least) * p**least * (1 - p) ** (n - least)) <= 1e-6:
+        least += 1
+    return least
 
 
 def _bytes(column: pa.Array) -> np.ndarray:
@@ -221,10 +227,14 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stash(known.transform(arrow, _signatures(k), _SIGNATURE), "signatures")
     real = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    same = real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    equal = stash(real.select("doc_id", "s1", "s2", "n_shingles").join(same, ["s1", "s2", "n_shingles"]).select("doc_id", "rep").distinct(), "equal-sets")
-    first = equal.where("doc_id = rep").select("rep")
-    reps = stash(real.join(first, F.col("doc_id") == F.col("rep")).dropDuplicates(["rep", "s1", "s2"]).select("rep", "n_shingles", "keys", "sig"), "classes")
+    same = stash(real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "equal-sets")
+    first = same.select(*(F.col(c).alias(f"_{c}") for c in ("s1", "s2", "n_shingles", "rep")))
+    is_first = (F.col("doc_id") == F.col("_rep")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n_shingles") == F.col("_n_shingles"))
+    reps = stash(real.join(first, is_first).dropDuplicates(["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("rep"), "n_shingles", "keys", "sig"), "classes")
+    # Ids that more than one set has (an empty one counts) are vertices beside the classes' own smallest ids.
+    several = known_ids(rows)
+    own = real.join(several, "doc_id").select("doc_id", "s1", "s2", "n_shingles").distinct().join(same, ["s1", "s2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    own = stash(own, "ids-of-several")
     # Band keys that more than one class has, and their combinations.
     bands = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -249,8 +259,7 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
     small = in_bucket.where((F.col("members") <= SMALL) & (F.col("members") > 2)).groupBy("bucket").agg(F.array_sort(F.collect_set("rep")).alias("x"))
     each = small.select(F.posexplode("x").alias("i", "a"), "x").select("a", F.explode(F.slice("x", F.col("i") + 2, SMALL)).alias("b"))
     links = stash(confirm(likely(star.union(each))), "links")
-    mine_too = equal.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    merged = stash(components(mine_too.union(links), "near-components"), "near-merged")
+    merged = stash(components(own.union(links), "near-components"), "near-merged")
     large = in_bucket.where(F.col("members") > SMALL)
     diagonal = F.col("table") % (TABLES + 1) == 0
 
@@ -285,8 +294,34 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
             merged = stash(components(merged.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more), "near-components"), "near-merged")
     for done in (in_bucket, alike, sets):
         drop_stash(done)
-    out = rows.select("doc_id", "n_shingles").join(merged.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    label = same.join(merged.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n_shingles", "rep", "rows", F.coalesce("component_id", "rep").alias("component_id"))
+    out = classed(rows.select("doc_id", "n_shingles", "s1", "s2"), label)
+    if not several.isEmpty():
+        out = out.join(own.select(F.col("a").alias("doc_id")).distinct().join(merged.select(F.col("id").alias("doc_id"), F.col("component_id").alias("_own")), "doc_id"), "doc_id", "left")
+        out = out.withColumn("component_id", F.coalesce("_own", "component_id"))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def known_ids(rows: DataFrame) -> DataFrame:
+    """The ids that rows with different sets share."""
+    return stash(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("b"), F.min("s2").alias("c"), F.max("s2").alias("d")).where("a <> b OR c <> d").select("doc_id"), "ids-of-several")
+
+
+def classed(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows (doc_id, n_shingles, s1, s2) with component_id, the class's where it has other rows or links, else the row's own id.
+
+    Classes that hold a thousandth of all rows or more are at most a thousand: they are joined by broadcast, so
+    no task gathers the rows of a large group of copies.
+    """
+    keys = ["s1", "s2", "n_shingles"]
+    label = stash(label.where("rows > 1 OR component_id <> rep").select(*keys, "rows", "component_id"), "labels")
+    large = max(LARGE, rows.count() // 1000)
+    hot, cold = label.where(F.col("rows") > large), label.where(F.col("rows") <= large)
+    to_hot = F.broadcast(hot.select(*keys, "component_id"))  # at most 1,000 rows
+    named, unnamed = rows.where("doc_id IS NOT NULL"), rows.where("doc_id IS NULL")
+    in_hot = named.join(to_hot, keys).select("doc_id", "n_shingles", "component_id")
+    rest = named.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.drop("rows"), keys, "left")
+    return in_hot.union(rest.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id"))).union(unnamed.select("doc_id", "n_shingles", F.col("doc_id")))
 
 
 def dedup(docs: DataFrame, percent: int = 85, k: int = SHINGLE) -> DataFrame:
@@ -295,7 +330,10 @@ def dedup(docs: DataFrame, percent: int = 85, k: int = SHINGLE) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
-    """The rows of docs but for those with a smaller id among their near-duplicates."""
+    """The rows of docs but for those with a smaller id among their near-duplicates.
+
+    0.8 is the similarity of stages on word shingles in general; the query op5 has a contract of its own, with 0.85.
+    """
     gone = classes(docs, percent, k).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 

@@ -422,3 +422,23 @@ def test_hnsw_recall_on_clusters():
     found = hnsw.Graph.build(x).search(x[::30])
     exact = np.argsort(-(x[::30] @ x.T), axis=1)[:, :20]
     assert np.mean([len(set(a[:20]) & set(b)) / 20 for a, b in zip(found.tolist(), exact.tolist())]) >= 0.9
+
+
+@pytest.mark.parametrize("parts", [3, 16])
+def test_neardup_pairs_in_a_loose_family(spark, parts):
+    """400 pairs of texts above 0.85, all edited copies of one text that are less alike among pairs: none is lost, however the rows are dealt."""
+    r = random.Random(6)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for k in range(4):
+            w[r.randrange(len(w))] = f"x{i}.{k}"
+        mate = list(w)
+        for k in range(2):
+            mate[r.randrange(len(w))] = f"y{i}.{k}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(mate))]
+    s = {i: sets(t) for i, t in rows}
+    alike = [(2 * i, 2 * i + 1) for i in range(400) if 100 * len(s[2 * i] & s[2 * i + 1]) >= 85 * len(s[2 * i] | s[2 * i + 1])]
+    got = {x["doc_id"]: x["component_id"] for x in neardup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
+    assert len(alike) > 250 and [p for p in alike if got[p[0]] != got[p[1]]] == []
