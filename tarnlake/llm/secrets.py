@@ -7,7 +7,8 @@ with a total above `least` are added to the spans of the fixed patterns unless t
 
 Spans are (kind, start, end) in code points, end exclusive. A pattern's matches are the leftmost
 non-overlapping ones: `split` gives what lies between them, `regexp_extract_all` the matches, and running
-sums of both lengths give the positions.
+sums of both lengths give the positions. Running sums, maxima and minima are taken in blocks, and text is cut out
+of blocks, so that the work grows in proportion to the text however many spans it has.
 
 Defined results: a null or empty text has no spans (the digest is that of the empty string); repeated rows
 are scanned each; a null doc_id is kept; extra columns are ignored by scan() and kept by redact().
@@ -96,16 +97,39 @@ def default_table(spark: SparkSession) -> list[int]:
 
 
 _SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
+_BLOCK = 256  # items that one step of a running value takes
+_TEXT_BLOCK = 4096  # characters
+_FAR = 2147483647
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: body, in which name stands for value."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _running(values: str, zero: str, step: str) -> str:
+    """SQL: at each place of an array of whole numbers step(p, q) over all values up to it; step must be associative.
+
+    Appending copies an array, so blocks are run through on their own, then the blocks' totals, and both are put together.
+    """
+    both = lambda p, q: step.replace("?p", p).replace("?q", q)
+    start = f"named_struct('t', {zero}, 'out', cast(array() AS array<int>))"
+    within = f"aggregate(b, {start}, (a, x) -> {_let(both('a.t', 'x'), 'n', "named_struct('t', n, 'out', array_append(a.out, n))")})"
+    blocks = f"transform(sequence(0, greatest(0, cast(ceil(size(w) / {_BLOCK}) AS int) - 1)), i -> {_let(f'slice(w, i * {_BLOCK} + 1, {_BLOCK})', 'b', within)})"
+    before = f"aggregate(d, {start}, (a, x) -> named_struct('t', {both('a.t', 'x.t')}, 'out', array_append(a.out, a.t)), a -> a.out)"
+    whole = f"flatten(zip_with(d, {before}, (x, t) -> transform(x.out, v -> {both('t', 'v')})))"
+    return _let(values, "w", _let(blocks, "d", whole))
 
 
 def _spans(text: str, pattern: str, kind: int, value_group: int) -> str:
     """SQL for the pattern's matches in order as structs of start, kind, end and value."""
     p = "r'" + pattern + "'" if "'" not in pattern else 'r"' + pattern.replace('"', r"\x22") + '"'
     found, value = f"regexp_extract_all({text}, {p}, 0)", f"regexp_extract_all({text}, {p}, {value_group})"
-    step = "named_struct('at', acc.at + length(x.gap) + length(x.m), 'out', array_append(acc.out, named_struct('s', acc.at + length(x.gap), 'k', {kind}, 'e', acc.at + length(x.gap) + length(x.m), 'v', x.v)))"
-    pairs = f"zip_with({found}, {value}, (m, v) -> named_struct('m', m, 'v', v))"
-    zipped = f"zip_with(split({text}, {p}, -1), {pairs}, (gap, y) -> named_struct('gap', gap, 'm', y.m, 'v', y.v))"
-    return f"CASE WHEN {text} RLIKE {p} THEN aggregate(filter({zipped}, z -> z.m IS NOT NULL), named_struct('at', 0, 'out', cast(array() AS {_SPAN})), (acc, x) -> {step.format(kind=kind)}, acc -> acc.out) ELSE cast(array() AS {_SPAN}) END"
+    pairs = f"zip_with({found}, {value}, (m, v) -> named_struct('n', length(m), 'v', v))"
+    zipped = f"filter(zip_with(split({text}, {p}, -1), {pairs}, (gap, y) -> named_struct('far', length(gap) + y.n, 'n', y.n, 'v', y.v)), z -> z.n IS NOT NULL)"
+    ends = _running("transform(zs, z -> z.far)", "0", "?p + ?q")
+    spans = _let(zipped, "zs", f"zip_with(zs, {ends}, (z, e) -> named_struct('s', e - z.n, 'k', {kind}, 'e', e, 'v', z.v))")
+    return f"CASE WHEN {text} RLIKE {p} THEN {spans} ELSE cast(array() AS {_SPAN}) END"
 
 
 def with_spans(docs: DataFrame, ratios: list[int], least: int = LEAST_RATIO) -> DataFrame:
@@ -119,10 +143,16 @@ def with_spans(docs: DataFrame, ratios: list[int], least: int = LEAST_RATIO) ->
         "_long": F.expr(f"filter({_spans('_t', CANDIDATE, 3, 0)}, x -> x.v RLIKE '[0-9]' AND x.v RLIKE '[A-Za-z]')"),
     }).drop("_t")
     based = found.withColumn("_base", F.expr("array_sort(concat(_assign, _access, _hex))")).drop("_assign", "_access", "_hex")
+    # Candidates clear of the fixed patterns: in order of start, none of those before ends within, nor does the next after begin there.
+    last_end = _running("transform(every, x -> if(x.k < 3, x.e, 0))", "0", "greatest(?p, ?q)")
+    next_start = f"reverse({_running(f'transform(reverse(every), x -> if(x.k < 3, x.s, {_FAR}))', str(_FAR), 'least(?p, ?q)')})"
+    joined = f"zip_with(every, zip_with({last_end}, {next_start}, (p, n) -> named_struct('p', p, 'n', n)), (x, o) -> named_struct('x', x, 'clear', x.k = 3 AND o.p <= x.s AND o.n >= x.e))"
+    clear = _let("array_sort(concat(_base, _long))", "every", f"transform(filter({joined}, y -> y.clear), y -> y.x)")
     codes = "transform(split(x.v, ''), c -> ascii(c))"
     total = f"aggregate({codes}, named_struct('last', 0, 'sum', 0L), (a, c) -> named_struct('last', c, 'sum', a.sum + if(c = 0, 0, element_at({ratio}, 128 * a.last + c + 1))), a -> a.sum)"
-    more = f"filter(_long, x -> NOT exists(_base, b -> b.s < x.e AND x.s < b.e) AND {total} >= {least})"
-    return based.withColumn("_more", F.expr(f"CASE WHEN size(_long) = 0 THEN _long ELSE {more} END")).drop("_long").withColumn("_all", F.expr("array_sort(concat(_base, _more))")).drop("_more")
+    clear = f"CASE WHEN size(_long) = 0 OR size(_base) = 0 THEN _long ELSE {clear} END"
+    more = f"CASE WHEN size(_long) = 0 THEN _long ELSE filter({clear}, x -> {total} >= {least}) END"
+    return based.withColumn("_more", F.expr(more)).drop("_long").withColumn("_all", F.expr("array_sort(concat(_base, _more))")).drop("_more")
 
 
 def _joined(spans: str) -> str:
@@ -143,9 +173,19 @@ def scan(docs: DataFrame, ratios: list[int] | None = None, least: int = LEAST_RA
 def redact(docs: DataFrame, ratios: list[int] | None = None, least: int = LEAST_RATIO, mark: str = "[SECRET]") -> DataFrame:
     """docs with each run of overlapping spans replaced by `mark`, and n_chars, where there is one, counted again."""
     ratios = ratios or default_table(docs.sparkSession)
-    step = f"""CASE WHEN x.e <= acc.cut THEN acc WHEN x.s < acc.cut THEN named_struct('cut', x.e, 'out', acc.out)
-        ELSE named_struct('cut', x.e, 'out', array_append(acc.out, concat(substring(text, acc.cut + 1, x.s - acc.cut), '{mark}'))) END"""
-    new = f"aggregate(_all, named_struct('cut', 0, 'out', cast(array() AS array<string>)), (acc, x) -> {step}, acc -> concat(array_join(acc.out, ''), substring(text, acc.cut + 1)))"
+    n = _TEXT_BLOCK
+
+    def cut(a: str, b: str) -> str:
+        """The characters from a to b (exclusive), out of the blocks `t`."""
+        first, last = f"({a} DIV {n})", f"(({b} - 1) DIV {n})"
+        within = f"substring(t[{first}], {a} % {n} + 1, {b} - {a})"
+        across = f"concat(substring(t[{first}], {a} % {n} + 1), array_join(slice(t, cast({first} + 2 AS int), cast({last} - {first} - 1 AS int)), ''), left(t[{last}], cast({b} - {last} * {n} AS int)))"
+        return f"CASE WHEN {b} <= {a} THEN '' WHEN {first} = {last} THEN {within} ELSE {across} END"
+
+    # What lies before a span that no earlier one reaches is kept, with the mark after it; the rest of a run of overlapping spans adds nothing.
+    far = _running("transform(_all, x -> x.e)", "0", "greatest(?p, ?q)")
+    kept = f"zip_with(_all, zip_with(slice(concat(array(0), far), 1, size(far)), far, (p, e) -> p), (x, p) -> CASE WHEN x.s < p THEN '' ELSE concat({cut('p', 'x.s')}, '{mark}') END)"
+    new = _let(f"regexp_extract_all(text, '(?s).{{1,{n}}}', 0)", "t", _let(far, "far", f"concat(array_join({kept}, ''), {cut('array_max(far)', 'length(text)')})"))
     out = with_spans(docs, ratios, least).withColumn("text", F.expr(f"CASE WHEN size(_all) = 0 THEN text ELSE {new} END"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

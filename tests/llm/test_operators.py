@@ -133,6 +133,45 @@ def test_secrets(docs, none):
     assert got[3]["n_markov"] == 1 and got[3]["spans"] == "markov:4:44"
 
 
+def test_secrets_of_many_spans(spark):
+    """100,000 spans in one text, and a long text of overlapping and adjoining ones, against regular expressions."""
+    import re
+    import time
+
+    r = random.Random(9)
+    hexes = [f"{r.getrandbits(64):016x}" for _ in range(50000)]
+    keys = [base64.b64encode(r.randbytes(24)).decode() for _ in range(50000)]
+    text = " é ".join(f"{a} {b}" for a, b in zip(hexes, keys))
+    odd = "x" * 5000 + " token: secret: " + "a" * 5000 + " password=" + "AKIA" + "B" * 40 + "0123456789abcdef" * 600 + " 🎉" * 3000 + "end"
+    df = spark.createDataFrame([(1, text, 0), (2, odd, 0)], "doc_id long, text string, n_chars long")
+    began = time.time()
+    got = {x["doc_id"]: x for x in secrets.scan(df).collect()}
+    assert time.time() - began < 120
+    assert got[1]["n_hex"] >= 50000 and got[1]["n_markov"] > 40000
+    clean = {x["doc_id"]: x for x in secrets.redact(df).collect()}
+    for i, t in ((1, text), (2, odd)):
+        spans = [tuple(map(int, x.split(":")[1:])) for x in got[i]["spans"].split(",")]
+        assert spans == sorted(spans)
+        out, at = [], 0
+        for s, e in spans:
+            if s >= at:
+                out += [t[at:s], "[SECRET]"]
+            at = max(at, e)
+        assert clean[i]["text"] == "".join(out) + t[at:] and clean[i]["n_chars"] == len(clean[i]["text"])
+        base = [x.span() for x in re.finditer("[0-9a-f]{16,}", t)]
+        assert [tuple(map(int, x.split(":")[1:])) for x in got[i]["spans"].split(",") if x.startswith("hex")] == base
+
+
+def test_secrets_held_out_strings(spark):
+    """Random strings and identifiers that the models have not seen: recall, and how few identifiers are taken."""
+    r = random.Random(12)
+    found = [base64.b64encode(r.randbytes(30)).decode() for _ in range(300)]
+    plain = ["_".join(r.choice(["monday", "river", "budget", "painter", "window", "harvest"]) for _ in range(4)) + str(r.randint(1, 99)) for _ in range(300)]
+    rows = [(i, "see " + s + " there") for i, s in enumerate(found + plain)]
+    got = {x["doc_id"]: x["n_markov"] + x["n_hex"] + x["n_access"] for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] > 0 for i in range(300)) >= 285 and sum(got[300 + i] > 0 for i in range(300)) <= 6
+
+
 def test_quality(spark, docs, none):
     noise = lambda r: " ".join("###" + r.choice(WORDS) + "$$$" for _ in range(40))
     r = random.Random(8)
