@@ -10,15 +10,17 @@ Texts are scored with A-Z lower-cased, as are the tokens of the unigram base.
 
 How it is spread: a byte with its context is one number, so the tree is built from counts of (DEPTH + 1)-grams.
 Texts are dealt into chunks of about `chunk_bytes`. A chunk asks for the values of the distinct words and grams
-it holds: it sends packed arrays of sorted keys with its own counts to buckets of the key space (all grams with the
-same last two context bytes are in one bucket). A bucket adds up what the chunks counted, works out the values,
-and answers each chunk with arrays in the same form. Only depths 0 and 1, at most 256 * 256 nodes, and two
-totals pass through the driver. No vocabulary is broadcast or collected, and a frequent word or gram has one
-entry per chunk at most.
-
-Words are told apart by 63-bit hashes. Defined results: a null text is empty (one end token); a null id is not
-held out; repeated rows are trained on and scored each; without training texts N and V are 0 and the model
-gives one half to each decision.
+it holds: it sends packed arrays of sorted keys with its own counts to buckets of the key space (the more, the more
+text; a bucket holds whole contexts of three bytes). The chunks' arrays of a bucket are added up by a tree, `FAN`
+at a time, so that no task holds more than that many of them however common a context is; the answers come
+back down the same tree, each array as long as what was asked. What buckets of one two-byte context have in common,
+its nodes of depth 2, is added up by an aggregation over all buckets and sent back to them. Only depths 0 and 1, at
+most 256 * 256 nodes, and two totals pass through the driver. No vocabulary is broadcast or collected.
+
+Scores do not depend on how many chunks and buckets there are. Words are told apart by 63-bit hashes. Defined results:
+a null text is empty (one end token); a null id is not held out; repeated rows are trained on and scored each (rows
+equal in id and text are in one chunk); without training texts N and V are 0 and the model gives one half to each
+decision; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +41,11 @@ CHUNK_BYTES = 32 << 20
 LEAST_CHUNKS = 8
 #: Bytes of text for each bucket of words and each of grams.
 BUCKET_BYTES = 4 << 20
+TASK_BUCKETS = 8
+#: Arrays of one bucket that a task adds up at a time.
+FAN = 64
+#: A bucket of grams is told by at most these bits of the key: the three last bytes of context.
+_MOST_BITS = 24
 _END_TOKEN = 0
 _WORD_BITS = 63
 #: The last two context bytes times this, mod 2**16, are a gram's bucket bits: frequent pairs lie apart.
@@ -171,7 +178,7 @@ class Layer:
     """Nodes of one depth: sorted keys (context * 256 + binary node), counts, ln KT and ln P."""
 
     def __init__(self, key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None):
-        self.key, self.n0, self.n1 = key, n0, n1
+        self.key, self.n0, self.n1, self.below = key, n0, n1, below
         self.kt = kt_log(n0, n1)
         self.p = self.kt if below is None else np.logaddexp(self.kt, below) - math.log(2)
 
@@ -192,7 +199,7 @@ class Layer:
 
 
 def _layers(code: np.ndarray, n: np.ndarray) -> tuple[list[Layer], np.ndarray, np.ndarray, np.ndarray]:
-    """Layers of depths DEPTH to 2 of a bucket's grams; node, bit and context of each gram's decisions."""
+    """Layers of depths DEPTH to 2 of a bucket's grams (depth 2 only as far as the bucket goes); node, bit and context of each gram's decisions."""
     x = code & 255
     j = np.arange(8)
     node = (1 << j) | (x[:, None] >> (8 - j))
@@ -211,40 +218,67 @@ def _last_byte(pair: np.ndarray) -> np.ndarray:
     return pair * pow(_SPREAD, -1, 1 << 16) & 255
 
 
-def _group(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The keys that each chunk asks of a bucket; all of them with their totals."""
-    asked = [_unpack(k.as_py(), np.int64, True) for k in group.column("keys")]
-    return asked, *_merged([(k, _unpack(n.as_py(), np.int64)) for k, n in zip(asked, group.column("counts"), strict=True)])
+def _batch(names: list[str], types, columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def _totals(bits: int):
-    """From gram buckets the counts and ln P of depth 2 by last byte and node; from word buckets (c = -1) the sum and number of counts."""
+def _added(batches):
+    """The arrays of each (bucket, up) added up: one row each."""
+    for group in runs_of(batches, ["bucket", "up"]):
+        keys, counts = _merged([(_unpack(k.as_py(), np.int64, True), _unpack(n.as_py(), np.int64)) for k, n in zip(group.column("keys"), group.column("counts"), strict=True)])
+        yield _batch(["slot", "bucket", "keys", "counts"], (pa.int64(), pa.int32(), pa.binary(), pa.binary()), ([group.column("up")[0].as_py()], [group.column("bucket")[0].as_py()], [_pack(keys, True)], [_pack(counts)]))
+
+
+_SUMS = "pair int, node int, n0 double, n1 double, below double"
+
+
+def _sums(bits: int):
+    """From buckets of grams the counts and what lies below of their nodes of depth 2; from buckets of words (pair = -1) the sum and number of counts."""
 
     def run(batches):
-        for group in runs_of(batches, ["bucket"]):
-            _, keys, n = _group(group)
-            if group.column("bucket")[0].as_py() >> bits:
-                layer = _layers(keys, n)[0][-1]
-                columns = [_last_byte(layer.key >> 8), layer.key & 255, layer.n0, layer.n1, layer.p]
-            else:
-                columns = [np.array([v]) for v in (-1, 0, n.sum(), (n > 0).sum(), 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(v.astype(t)) for v, t in zip(columns, (np.int32, np.int32, float, float, float), strict=True)], names=["c", "node", "n0", "n1", "p"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, n = _unpack(batch.column("keys")[i].as_py(), np.int64, True), _unpack(batch.column("counts")[i].as_py(), np.int64)
+                if batch.column("bucket")[i].as_py() >> bits:
+                    layer = _layers(keys, n)[0][-1]
+                    columns = [layer.key >> 8, layer.key & 255, layer.n0, layer.n1, layer.below]
+                else:
+                    columns = [np.array([v]) for v in (-1, 0, n.sum(), (n > 0).sum(), 0)]
+                yield _batch(["pair", "node", "n0", "n1", "below"], (pa.int32(), pa.int32(), *[pa.float64()] * 3), [v.astype(t) for v, t in zip(columns, (np.int32, np.int32, float, float, float), strict=True)])
 
     return run
 
 
-_ANSWERS = "chunk int, bucket int, keys binary, answers binary"
+def _depth2(rows) -> Layer:
+    """The layer of depth 2 of some pairs, from Arrow rows of the sums."""
+    pair, node, n0, n1, below = (np.asarray(rows.column(c)) for c in ("pair", "node", "n0", "n1", "below"))
+    key = pair.astype(np.int64) << 8 | node
+    order = np.argsort(key, kind="stable")
+    return Layer(key[order], *(v[order].astype(float) for v in (n0, n1, below)))
 
 
-def _answers(bits: int, one: Layer, none: Layer):
-    """Each chunk's keys again, with the words' totals and log10 of the grams' last bytes given their contexts."""
+def _depth1(batches):
+    """Nodes of depth 1, in parts: the last context byte, counts and ln P of what lies below."""
+    for batch in batches:
+        if batch.num_rows:
+            layer = _depth2(batch)
+            yield _batch(["c", "node", "n0", "n1", "p"], (pa.int32(), pa.int32(), *[pa.float64()] * 3), (_last_byte(layer.key >> 8).astype(np.int32), (layer.key & 255).astype(np.int32), layer.n0, layer.n1, layer.p))
 
-    def run(batches):
-        for group in runs_of(batches, ["bucket"]):
-            asked, keys, n = _group(group)
+
+_ANSWERS = "slot long, bucket int, keys binary, answers binary"
+
+
+def _valued(bits: int, one: Layer, none: Layer):
+    """From a bucket's keys with their totals (left) and its nodes of depth 2 (right) the value of each key: a word's total, or log10 of a gram's last byte given its context."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            keys, n = _unpack(row["keys"], np.int64, True), _unpack(row["counts"], np.int64)
             value = n.astype(float)
-            if group.column("bucket")[0].as_py() >> bits:
+            if row["bucket"] >> bits:
                 layers, node, bit, context = _layers(keys, n)
+                layers[-1] = _depth2(right.combine_chunks())
                 p = None
                 for k, layer in enumerate(layers):
                     p = layer.mixed((context[:, None] << 8 | node).ravel(), bit.ravel(), p)
@@ -253,59 +287,109 @@ def _answers(bits: int, one: Layer, none: Layer):
                 p = one.mixed((_last_byte(context)[:, None] << 8 | node).ravel(), bit.ravel(), p)
                 p = none.mixed(node.ravel(), bit.ravel(), p)
                 value = np.log10(p).reshape(-1, 8).sum(1)
-            yield pa.RecordBatch.from_arrays([group.column(c).combine_chunks() for c in ("chunk", "bucket", "keys")] + [pa.array([_pack(value[np.searchsorted(keys, k)]) for k in asked], pa.binary())], names=["chunk", "bucket", "keys", "answers"])
+            out.append((row["slot"], row["bucket"], row["keys"], _pack(value)))
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["slot", "bucket", "keys", "answers"])
 
     return run
 
 
+def _answered(left: pa.Table, right: pa.Table) -> pa.Table:
+    """What the parts (left) of one array (right) asked for, from its answers."""
+    keys, values = _unpack(right.column("keys")[0].as_py(), np.int64, True), _unpack(right.column("answers")[0].as_py(), np.float64)
+    mine = [_pack(values[np.searchsorted(keys, _unpack(k.as_py(), np.int64, True))]) for k in left.column("keys")]
+    return pa.table([left.column("slot"), left.column("bucket"), left.column("keys"), pa.array(mine, pa.binary())], names=["slot", "bucket", "keys", "answers"])
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+
+
 def _scores(bits: int, n_all: int, n_distinct: int):
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]
+    """Scores of the texts of each chunk, from rows in order of chunk: answers (in order of bucket), then texts."""
+    names = [c.split()[0] for c in _SCORES.split(", ")]
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 
-    def joined(rows: pa.Table, column: str, kind, sorted_keys: bool = False) -> np.ndarray:
-        return np.concatenate([_unpack(v.as_py(), kind, sorted_keys) for v in rows.column(column)] or [np.zeros(0, kind)])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("bucket")  # keys are then in order within words and within grams
-        side = np.asarray(right.column("bucket").combine_chunks()) >> bits
-        (words_at, counts), (grams_at, logs) = ((joined(rows, "keys", np.int64, True), joined(rows, "answers", np.float64)) for rows in (right.filter(pa.array(side == k)) for k in range(2)))
+    def values(held: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sorted keys and answers, of words and of grams; parts of one chunk and bucket may repeat keys."""
         out = []
-        for batch in left.to_batches():
-            for piece in pieces(batch):
-                buf, offs = texts(piece.column("text"))
-                low = LOWER[buf]
-                words, first = word_keys(low, offs)
-                count = counts[np.searchsorted(words_at, words)]
-                base = np.add.reduceat(np.log10(count + 1) - math.log10(n_all + n_distinct + 1), first[:-1])
-                known = np.add.reduceat((count > 0).astype(np.int64), first[:-1])
-                grams, start = gram_keys(low, offs)
-                total = np.add.reduceat(logs[np.searchsorted(grams_at, grams)], start[:-1])
-                columns = [piece.column("doc_id"), piece.column("held_out"), np.diff(first), known, np.full(piece.num_rows, n_all), base, total, np.diff(offs)]
-                out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names))
-        return pa.Table.from_batches(out) if out else pa.table([pa.array([], t) for t in types], names=names)
+        for kind in range(2):
+            mine = [h for h in held if h[0] >> bits == kind]
+            keys, got = (np.concatenate([m[k] for m in mine] or [np.zeros(0, t)]) for k, t in ((1, np.int64), (2, np.float64)))
+            if (keys[1:] < keys[:-1]).any():
+                order = np.argsort(keys, kind="stable")
+                keys, got = keys[order], got[order]
+            out.append((keys, got))
+        return out
+
+    def scored(piece, words_at, counts, grams_at, logs):
+        buf, offs = texts(piece.column("text"))
+        low = LOWER[buf]
+        words, first = word_keys(low, offs)
+        count = counts[np.searchsorted(words_at, words)]
+        base = np.add.reduceat(np.log10(count + 1) - math.log10(n_all + n_distinct + 1), first[:-1])
+        known = np.add.reduceat((count > 0).astype(np.int64), first[:-1])
+        grams, start = gram_keys(low, offs)
+        total = np.add.reduceat(logs[np.searchsorted(grams_at, grams)], start[:-1])
+        return _batch(names, types, [piece.column("doc_id"), piece.column("held_out"), np.diff(first), known, np.full(piece.num_rows, n_all), base, total, np.diff(offs)])
+
+    def run(batches):
+        chunk, held, ready = None, [], None
+        for batch in batches:
+            at, text = np.asarray(batch.column("chunk")), np.asarray(batch.column("side")) == 1
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (text[1:] != text[:-1])) + 1).tolist(), len(at)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if at[a] != chunk:
+                    chunk, held, ready = at[a], [], None
+                part = batch.slice(a, b - a)
+                if not text[a]:
+                    held += [(k, _unpack(x.as_py(), np.int64, True), _unpack(y.as_py(), np.float64)) for k, x, y in zip(part.column("bucket").to_pylist(), part.column("keys"), part.column("answers"), strict=True)]
+                    continue
+                if ready is None:
+                    ready, held = [v for pair in values(held) for v in pair], []
+                for piece in pieces(part):
+                    yield scored(piece, *ready)
 
     return run
 
 
-def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(LEAST_CHUNKS, -(-total // chunk_bytes))
-    bits = max(5, int(-(-total // bucket_bytes)).bit_length())
+    bits = min(_MOST_BITS, max(5, int(-(-total // bucket_bytes)).bit_length()))
+    tasks = max(LEAST_CHUNKS, (2 << bits) // TASK_BUCKETS)
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
-    dealt = rows.repartition("chunk")
-    learnt = dealt.withColumn("train", ~F.col("held_out")).sortWithinPartitions("chunk").select("chunk", "train", "text")
-    asked = stash(learnt.transform(arrow, _asked(bits), _ASKED), "asked")
-    by_bucket = asked.repartition("bucket").sortWithinPartitions("bucket", "chunk")
-    sums = by_bucket.transform(arrow, _totals(bits), "c int, node int, n0 double, n1 double, p double")
-    got = sums.groupBy("c", "node").agg(*(F.sum(v).alias(v) for v in ("n0", "n1", "p"))).toPandas()  # at most 256 * 255 + 1 rows
-    words, one = got[got["c"] < 0], got[got["c"] >= 0].sort_values(["c", "node"])
-    n_all, n_distinct = (int(words[v].sum()) for v in ("n0", "n1"))
-    depth1 = Layer(one["c"].to_numpy(np.int64) << 8 | one["node"].to_numpy(np.int64), *(one[v].to_numpy(float) for v in ("n0", "n1", "p")))
-    answers = by_bucket.transform(arrow, _answers(bits, depth1, depth1.up(1)), _ANSWERS)
-    names = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(bits, n_all, n_distinct), names)
+    learnt = rows.select("chunk", (~F.col("held_out")).alias("train"), "text").repartitionById(chunks, F.col("chunk"))  # a chunk is a task
+    asked = stash(learnt.transform(arrow, _asked(bits), _ASKED), "asked").withColumnRenamed("chunk", "slot")
+    levels, slots = [asked.withColumn("slot", F.col("slot").cast("long"))], chunks
+    while True:  # up the tree, until each bucket has one array
+        slots = -(-slots // fan)
+        part = levels[-1].withColumn("up", F.floor(F.col("slot") / fan))
+        levels.append(stash(part.repartition(tasks, "bucket", "up").sortWithinPartitions("bucket", "up").select("bucket", "up", "keys", "counts").transform(arrow, _added, "slot long, bucket int, keys binary, counts binary"), "added"))
+        if slots == 1:
+            break
+    top = levels.pop()
+    sums = top.transform(arrow, _sums(bits), _SUMS).groupBy("pair", "node").agg(*(F.sum(v).alias(v) for v in ("n0", "n1", "below")))
+    sums = stash(sums, "depth-2")
+    words = sums.where("pair < 0").first()
+    n_all, n_distinct = (int(words["n0"]), int(words["n1"])) if words else (0, 0)
+    two = sums.where("pair >= 0")
+    got = two.transform(arrow, _depth1, "c int, node int, n0 double, n1 double, p double").groupBy("c", "node").agg(*(F.sum(v).alias(v) for v in ("n0", "n1", "p"))).orderBy("c", "node").toPandas()  # at most 256 * 255 rows
+    depth1 = Layer(got["c"].to_numpy(np.int64) << 8 | got["node"].to_numpy(np.int64), *(got[v].to_numpy(float) for v in ("n0", "n1", "p")))
+    # The nodes of a pair of context bytes go to each bucket that has some of it.
+    within = F.shiftright("pair", 16 - bits) if bits <= 16 else F.explode(F.expr(f"sequence(shiftleft(pair, {bits - 16}), shiftleft(pair, {bits - 16}) + {(1 << max(0, bits - 16)) - 1})"))
+    two = two.withColumn("bucket", within).withColumn("bucket", (F.col("bucket") + (1 << bits)).cast("int"))
+    answers = top.repartition(tasks, "bucket").groupBy("bucket").cogroup(two.repartition(tasks, "bucket").groupBy("bucket")).applyInArrow(_valued(bits, depth1, depth1.up(1)), _ANSWERS)
+    for level in reversed(levels):  # and down again
+        parts = level.select("slot", "bucket", "keys", F.floor(F.col("slot") / fan).alias("up")).repartition(tasks, "bucket", "up")
+        above = answers.withColumnRenamed("slot", "up").repartition(tasks, "bucket", "up")
+        answers = parts.groupBy("bucket", "up").cogroup(above.groupBy("bucket", "up")).applyInArrow(_answered, _ANSWERS)
+    none = lambda kind: F.lit(None).cast(kind)
+    values = answers.select(F.col("slot").cast("int").alias("chunk"), F.lit(0).alias("side"), "bucket", "keys", "answers", none("long").alias("doc_id"), none("boolean").alias("held_out"), none("string").alias("text"))
+    both = values.unionByName(rows.select("chunk", F.lit(1).alias("side"), F.lit(0).alias("bucket"), none("binary").alias("keys"), none("binary").alias("answers"), "doc_id", "held_out", "text"))
+    out = both.repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", "side", "bucket").transform(arrow, _scores(bits, n_all, n_distinct), _SCORES)
     per_byte = -F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", per_byte.alias("bits_per_byte"))
 

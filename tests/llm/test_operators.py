@@ -431,6 +431,19 @@ def test_ctw(spark, none):
     assert ctw.score(none.select("doc_id", "text")).count() == 0
 
 
+def test_ctw_does_not_depend_on_chunks_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "TASK_BUCKETS", 1 << 15)
+    r = random.Random(21)
+    rows = [(i, prose(r.randint(0, 60), r), 1.0, "x") for i in range(60)] + [(60, "ab" * 3000, 1.0, "x"), (61, None, 1.0, "x"), (61, "twice", 1.0, "x"), (61, "twice", 1.0, "x")]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, score double, chunk string")
+    one = by(ctw.score(docs_).collect(), "doc_id", "n_tokens", "n_known", "train_tokens", "score")
+    # 17 bits part the pairs of context bytes, fan 2 makes a tree of four levels.
+    for options in ({"bucket_bytes": 1 + sum(len(x[1] or "") for x in rows) // 70000, "chunk_bytes": 16000}, {"fan": 2, "chunk_bytes": 4000}):
+        many = by(ctw.score(docs_, **options).collect(), "doc_id", "n_tokens", "n_known", "train_tokens", "score")
+        for a, b in zip(one, many, strict=True):
+            assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-9)
+
+
 def vectors(spark):
     g = np.random.default_rng(3)
     x = g.standard_normal((300, 16))
