@@ -3,7 +3,8 @@
 Vectors are dealt into shards by a hash; a shard has at most about `shard_rows` vectors. Each shard's graph is
 stored as flat arrays (one row per shard): ids, vectors, and for each level its nodes and their neighbour
 numbers, `links` a node, padded with -1. Queries go to every shard in blocks, walk down its levels and search
-the lowest by best-first search with a beam of `beam`; the shards' results are merged by score.
+the lowest by best-first search with a beam of `beam`; the shards' results are merged by score. A task holds one
+shard (32,768 vectors, about 25 MB at 64 dimensions) and one block of queries.
 
 A graph is built in bulk, level by level. A node's neighbours come from the nearest nodes among ever larger
 prefixes of the shard (as if nodes were inserted one by one: early nodes give the long links), thinned by the
@@ -34,7 +35,7 @@ SHARD_ROWS = 32768
 LEAST_SHARDS = 8
 LINKS = 24
 BEAM = 96
-QUERY_BLOCK = 512
+QUERY_BLOCK = 8192  # queries that one copy of a graph is sent out for: about as many bytes as the graph
 _STEP = 256  # rows handled together inside a worker
 
 

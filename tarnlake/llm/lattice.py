@@ -8,7 +8,8 @@ that share a cell are compared by cosine in double precision.
 A cell is compared as a matrix, not as a list of pairs: what comes out is one row for each vector of the cell,
 with the number of links counted there and the smallest vector that links lead to within the cell. A pair that
 meets in several cells is counted in the first of them only. Large cells are dealt into blocks of bounded size
-and blocks are compared two by two, so no task gathers a cell. Equal vectors are one class from the start.
+and blocks are compared two by two, so no task gathers a cell. Equal vectors are one class from the start. As links are
+counted, the work in a cell of m different vectors grows with m * m; what is sent to tasks grows with m * m / 8192.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, as
 do rows with a null id; equal vectors of different ids link; vectors of different length never link; rows of
@@ -27,7 +28,8 @@ from tarnlake.llm.common import arrow, components, drop_stash, stash, table
 TABLES = 10
 BLOCKS = 2
 SCALE = 0.5
-CELL_ROWS = 1024
+CELL_ROWS = 8192  # rows of a block of a cell: a cell of m rows sends each of them to m / 8192 tasks
+TILE = 1024  # rows compared at a time
 _SEED = 20240
 
 
@@ -140,8 +142,27 @@ def runs_of(batches, columns: list[str]):
         yield pa.Table.from_batches(held)
 
 
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the smallest row of each component) after linking rows a with rows b."""
+    pairs = np.unique(np.stack([np.minimum(label[a], label[b]), np.maximum(label[a], label[b])]), axis=1)
+    up = np.arange(len(label))
+
+    def root(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for x, y in pairs.T[pairs[0] != pairs[1]].tolist():
+        x, y = sorted((root(x), root(y)))
+        up[y] = x
+    while (up[up] != up).any():
+        up = up[up]
+    return up[label]
+
+
 def _compare(least: float, tables: int):
-    """Per cell (or two blocks of one): cid, links, lead."""
+    """Per cell (or two blocks of one): cid, links, lead. The rows are compared tile by tile, so memory is that of two blocks and a tile."""
 
     def run(batches):
         for group in runs_of(batches, ["cell", "i", "j", "width"]):
@@ -150,39 +171,44 @@ def _compare(least: float, tables: int):
             if n < 2:
                 continue
             x = matrix(group.column("embedding").combine_chunks(), group.column("width")[0].as_py())
-            cid = np.asarray(group.column("cid"))
-            size = np.asarray(group.column("copies"))
-            block = np.asarray(group.column("block"))
+            cid, size, block = (np.asarray(group.column(c)) for c in ("cid", "copies", "block"))
+            keys = matrix_of_keys(group.column("cells").combine_chunks(), n)
+            per, mine = keys.shape[1] // tables, group.column("cell")[0].as_py()
             x = x / np.abs(x).max(1, keepdims=True)
             norm = np.sqrt((x * x).sum(1))
-            close = x @ x.T / norm / norm[:, None] >= least
-            np.fill_diagonal(close, False)
-            if group.column("i")[0].as_py() != group.column("j")[0].as_py():
-                close &= block[:, None] != block[None, :]
-            a, b = np.nonzero(close)
-            if not len(a):
-                continue
-            keys = matrix_of_keys(group.column("cells").combine_chunks(), n)
-            per = keys.shape[1] // tables
-            mine = group.column("cell")[0].as_py()
-            first = np.ones(len(a), bool)
-            open_ = np.ones(len(a), bool)
-            for t in range(tables):  # the first table in which the two share a cell, and there the smallest such cell
-                p, q = keys[a, t * per : t * per + per], keys[b, t * per : t * per + per]
-                least_shared = np.where((p[:, :, None] == q[:, None, :]).any(2), p, np.iinfo(np.int64).max).min(1)
-                there = open_ & (least_shared != np.iinfo(np.int64).max)
-                first[there] = least_shared[there] == mine
-                open_ &= ~there
-            links = np.bincount(a[first], size[b[first]], n).astype(np.int64)
-            lead = cid.copy()
-            while True:
-                low = lead.copy()
-                np.minimum.at(low, a, lead[b])
-                if (low == lead).all():
-                    break
-                lead = low
+            links, label = np.zeros(n, np.int64), np.arange(n)
+            one_block = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+            order = np.argsort(block, kind="stable")
+            sides = [order] if one_block else np.split(order, [int((block == block[order[0]]).sum())])
+            tiles = [[side[k : k + TILE] for k in range(0, len(side), TILE)] for side in sides]
+            for p, left in enumerate(tiles[0]):
+                for q, right in enumerate(tiles[-1]):
+                    if one_block and q < p:
+                        continue
+                    close = x[left] @ x[right].T / norm[right] / norm[left][:, None] >= least
+                    if one_block and q == p:
+                        close = np.triu(close, 1)
+                    a, b = np.nonzero(close)
+                    if not len(a):
+                        continue
+                    a, b = left[a], right[b]
+                    first = np.ones(len(a), bool)
+                    open_ = np.ones(len(a), bool)
+                    for t in range(tables):  # the first table in which the two share a cell, and there the smallest such cell
+                        of_a, of_b = keys[a, t * per : t * per + per], keys[b, t * per : t * per + per]
+                        least_shared = np.where((of_a[:, :, None] == of_b[:, None, :]).any(2), of_a, np.iinfo(np.int64).max).min(1)
+                        there = open_ & (least_shared != np.iinfo(np.int64).max)
+                        first[there] = least_shared[there] == mine
+                        open_ &= ~there
+                    for u, v in ((a[first], b[first]), (b[first], a[first])):
+                        links += np.bincount(u, size[v], n).astype(np.int64)
+                    label = _joined(label, a, b)
+            smallest = np.full(n, np.iinfo(np.int64).max)
+            np.minimum.at(smallest, label, cid)
+            lead = smallest[label]
             some = np.flatnonzero((links > 0) | (lead != cid))
-            yield pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(links[some]), pa.array(lead[some])], names=["cid", "links", "lead"])
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(links[some]), pa.array(lead[some])], names=["cid", "links", "lead"])
 
     return run
 

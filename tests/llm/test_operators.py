@@ -476,7 +476,7 @@ def vectors(spark):
     return rows, spark.createDataFrame(rows + [rows[7]] + bad, "vec_id long, embedding array<float>, label int, component_id string")
 
 
-def test_lattice(spark):
+def test_lattice(spark, monkeypatch):
     rows, df = vectors(spark)
     x = np.array([r[1] for r in rows])
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -490,11 +490,42 @@ def test_lattice(spark):
             assert (r["n_links"], r["component_id"], r["kept"]) == (close[i].sum() - 1, want[i], want[i] == i)
         else:
             assert (r["n_links"], r["component_id"], r["kept"]) == (0, i, True)
+    monkeypatch.setattr(lattice, "TILE", 3)
     blocks = lattice.near_copies(df, cell_rows=8).collect()
     assert by(blocks, "vec_id", "n_links", "component_id") == by(got, "vec_id", "n_links", "component_id")
     assert lattice.near_copies(df.where("vec_id < 0")).count() == 0
 
 
+def test_lattice_tiles(monkeypatch):
+    """A cell compared tile by tile, and in two blocks, gives what one comparison gives."""
+    import pyarrow as pa
+
+    g = np.random.default_rng(5)
+    x = g.standard_normal((90, 16))
+    x[:60] = x[0] + 0.2 * g.standard_normal((60, 16))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    keys = lattice.cells(unit, 2, 2, 0.05).view(np.int64)
+    cell = int(keys[0, 0])
+    keys[:, 0] = cell
+    monkeypatch.setattr(lattice, "TILE", 7)
+
+    def compared(rows, i, j, block):
+        n = len(rows)
+        lists = lambda v, t: pa.array([list(r) for r in v], pa.list_(t))
+        batch = pa.RecordBatch.from_arrays([pa.array([cell] * n), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), pa.array([16] * n, pa.int32()), pa.array(block, pa.int32()), pa.array(rows), pa.array([2] * n), lists(x[rows], pa.float64()), lists(keys[rows], pa.int64())], names=["cell", "i", "j", "width", "block", "cid", "copies", "embedding", "cells"])
+        return {r["cid"]: (r["links"], r["lead"]) for b in lattice._compare(0.95, 2)(iter([batch])) for r in b.to_pylist()}
+
+    close = unit @ unit.T >= 0.95
+    np.fill_diagonal(close, False)
+    want = linked(range(90), lambda a, b: close[a, b])
+    got = compared(np.arange(90), 0, 0, [0] * 90)
+    first = lambda a, b: min(set(keys[a, :4]) & set(keys[b, :4])) == cell
+    assert {i: got[i][1] for i in got} == {i: want[i] for i in got} and set(got) >= {i for i in range(90) if want[i] != i}
+    assert all(got.get(i, (0, i))[0] == 2 * sum(first(i, k) for k in np.flatnonzero(close[i])) for i in range(90))
+    across = compared(np.arange(90), 0, 1, [int(k % 3 == 0) for k in range(90)])
+    assert all(across.get(i, (0, i))[0] == 2 * sum(first(i, k) and (i % 3 == 0) != (k % 3 == 0) for k in np.flatnonzero(close[i])) for i in range(90))
+
+
 def test_e8_points():
     x = np.random.default_rng(1).standard_normal((500, 8)) * 2
     first, second = lattice.e8_two(x)
