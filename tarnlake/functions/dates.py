@@ -51,7 +51,8 @@ def deadlines(c: Column, as_of: Column) -> Column:
 
 
 def days_until(day: Column, as_of: Column) -> Column:
-    return F.datediff(day, as_of)
+    """Whole days from as_of to the day, part days counted as whole ones (as_of may be a timestamp)."""
+    return F.ceil((F.unix_micros(day.cast("timestamp")) - F.unix_micros(as_of.cast("timestamp"))) / 86400000000).cast("int")
 
 
 def tone(days: Column) -> Column:
@@ -60,3 +61,31 @@ def tone(days: Column) -> Column:
 
 def countdown(days: Column) -> Column:
     return F.when(days < 0, "closed").when(days == 0, "today").when(days < 60, F.concat(days.cast("string"), F.lit("d"))).otherwise(F.concat(F.round(days / 30).cast("int").cast("string"), F.lit("mo")))
+
+
+def iso_stamp(c: Column) -> Column:
+    """A timestamp in UTC as ISO text that ends in Z."""
+    return F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"(\.0+)?$", "Z")
+
+
+def capture_stamp(c: Column) -> Column:
+    """A timestamp in UTC as the compact text of capture folders."""
+    return F.date_format(c, "yyyyMMdd'T'HHmmssSSSSSS'Z'")
+
+
+# Words near which a date is an application deadline, and ones of dates that are none.
+DEADLINE_CONTEXT = r"deadline|closing date|apply by|application(?:s)? close|submit by|due date"
+EVENT_CONTEXT = r"open day|webinar|info(?:rmation)? session|semester starts|begins on|orientation|graduation"
+_ANY_DATE = r"20\d{2}-\d{2}-\d{2}|\d{1,2}\s+[A-Za-z]{3,9}\s+20\d{2}|[A-Za-z]{3,9}\s+\d{1,2},?\s+20\d{2}"
+
+
+def mined_deadlines(c: Column, window: int = 80, most: int = 8) -> Column:
+    """array<date> of the first dates that stand within `window` characters after a word of deadlines, those of events left out, in order of the text.
+
+    `most` is the feature's own limit (a page names few deadlines). Each date is looked at with what lies between it and the date before.
+    """
+    dates = F.regexp_extract_all(c, F.lit(f"({_ANY_DATE})"), F.lit(1))
+    before = F.transform(F.slice(F.split(c, _ANY_DATE, -1), F.lit(1), F.size(dates)), lambda t: F.lower(F.right(t, F.lit(window))))
+    both = F.arrays_zip(dates.alias("d"), before.alias("b"))
+    near = F.filter(both, lambda x: x["b"].rlike(DEADLINE_CONTEXT) & ~x["b"].rlike(EVENT_CONTEXT))
+    return F.slice(F.array_distinct(F.array_compact(F.transform(near, lambda x: parse_date(x["d"])))), 1, most)

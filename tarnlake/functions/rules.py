@@ -29,6 +29,18 @@ REGIONS = {
 # Words that institution names are compared without.
 NAME_STOP_WORDS = ("the", "of", "university", "universite", "universitat", "universidad", "institute", "technology", "technische", "technical", "royal", "school", "college")
 
+# Words that tell no institution from another, tokens and their English forms, and words in parentheses that are part of a name.
+TOKEN_STOP_WORDS = (
+    "and", "at", "college", "de", "for", "institute", "of", "school", "the", "universidad", "universita", "universitat", "universite", "universiteit", "university",
+)
+TOKEN_TRANSLATIONS = {
+    "autonoma": "autonomous", "catolica": "catholic", "cattolica": "catholic", "catholique": "catholic", "nacional": "national", "nationale": "national",
+    "politecnico": "polytechnic", "polytechnique": "polytechnic", "tecnica": "technical", "technische": "technical", "technique": "technical",
+    "firenze": "florence", "koeln": "cologne", "koln": "cologne", "lisboa": "lisbon", "milano": "milan", "muenchen": "munich", "munchen": "munich",
+    "napoli": "naples", "padova": "padua", "praha": "prague", "roma": "rome", "sevilla": "seville", "torino": "turin", "wien": "vienna",
+}
+PROTECTED_QUALIFIERS = ("branch", "campus", "college", "faculty", "hospital", "institute", "medical", "metropolitan", "school", "system")
+
 # Application materials and their published names.
 MATERIAL_ALIASES = {
     "cv": "CV", "curriculum vitae": "CV", "transcript": "Transcript", "bachelor transcript": "Transcript",
@@ -54,6 +66,13 @@ MONTHS = {
     "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12,
 }
 
+# Slugs that name no programme, and file names at the end of a path.
+GENERIC_SLUGS = (
+    "master", "masters", "program", "programs", "programme", "programmes", "all-programmes", "international-study-programmes", "specialized-master-degree",
+    "recherche-html", "en", "fr", "studies", "education",
+)
+GENERIC_FILES = ("titulacio.html", "index.html", "default.html")
+
 # Query keys that only track.
 TRACKING_KEY = "^(?:utm_.+|fbclid|gclid|mc_cid|mc_eid|ref|source)$"
 
@@ -100,8 +119,6 @@ DENIED_HOSTS = (
     "wikipedia.org", "mastersportal.com", "studyportals.com", "findamasters.com", "masterstudies.com", "university-directory.eu", "globaladmissions.com", "collegelearners.org",
     "mygermanuniversity.com", "topuniversities.com", "timeshighereducation.com", "usnews.com", "globalstudyprep.com", "mastermania.com", "standyou.com", "goaustria.org",
 )
-NON_MASTER_TITLE = r"\b(?:bachelor|undergraduate|doctoral|doctorate|ph\.?d\.?)\b"
-JUNK_TITLE = r"cookie|cookies|privacy|accessibility|homepage|navigation|404|not found|403|forbidden|access denied|just a moment|cloudflare|^programmes?$|^programs?$|^all programmes?$|^masters?$|^bachelors?$"
 
 # Platforms by marker, the first that matches counts.
 PLATFORMS = (

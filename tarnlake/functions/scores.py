@@ -46,6 +46,21 @@ def rate(covered: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(F.bround(covered / total, 4))
 
 
+def percent(covered: Column, total: Column) -> Column:
+    """Per cent to one place, halves to even; 0 of nothing."""
+    return F.when(total == 0, F.lit(0.0)).otherwise(F.bround(100 * covered / total, 1))
+
+
+def shown_percent(share: Column) -> Column:
+    """A share as whole per cent text, halves up; `-` for none."""
+    return F.coalesce(F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit("%")), F.lit("-"))
+
+
+def verified(content: Column, size: Column, digest_: Column) -> Column:
+    """Whether bytes have the size and SHA-256 that a manifest gives."""
+    return F.coalesce((F.octet_length(content) == size) & (F.sha2(content, 256) == F.lower(digest_)), F.lit(False))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)

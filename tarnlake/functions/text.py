@@ -55,6 +55,11 @@ def repair_mojibake(s: pd.Series) -> pd.Series:
     return _null_safe(fix)(s)
 
 
+def ascii_only(plain: Column, folded) -> Column:
+    """plain where it is ASCII already, else what folded (a pandas UDF) makes of it; Python sees only the other values."""
+    return F.when(plain.rlike(r"^\p{ASCII}*$"), plain).otherwise(folded(F.when(~plain.rlike(r"^\p{ASCII}*$"), plain)))
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -100,6 +105,65 @@ def compact_key(c: Column) -> Column:
     return F.regexp_replace(live_key(c), " ", "")
 
 
+def site_key(c: Column) -> Column:
+    """As name_key without the steps for `&`, dashes and tails, and with `college` kept; c is without marks already."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(c), r"\s*\(.*?\)\s*", " "), r"[^\w\s]", " ")
+    return squeeze(F.regexp_replace(s, r"\b(" + "|".join(w for w in rules.NAME_STOP_WORDS if w != "college") + r")\b", " "))
+
+
+def report_key(c: Column) -> Column:
+    """As name_key, parentheses dropped before `&` is spelt out; c is folded already."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(c), r"\([^)]*\)", " "), "&", " and ")
+    return F.trim(F.regexp_replace(F.regexp_replace(s, r"\b(" + "|".join(rules.NAME_STOP_WORDS) + r")\b", " "), "[^a-z0-9]+", " "))
+
+
+def coverage_key(c: Column) -> Column:
+    """site_key with the digraphs of umlauts as single letters."""
+    return F.replace(F.replace(F.replace(site_key(c), F.lit("ae"), F.lit("a")), F.lit("oe"), F.lit("o")), F.lit("ue"), F.lit("u"))
+
+
+def canonical_slug(c: Column) -> Column:
+    return F.concat(F.lit("u_"), F.replace(token_key(c), F.lit(" "), F.lit("_")))
+
+
+def term_fold(c: Column) -> Column:
+    """How navigation labels are compared; c is without marks already."""
+    return F.lower(squeeze(F.replace(F.replace(c, F.lit("’"), F.lit("'")), F.lit("-"), F.lit(" "))))
+
+
+def country_key(c: Column) -> Column:
+    return squeeze(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("’"), F.lit("'")))
+
+
+def semantic_tokens(c: Column) -> Column:
+    """Sorted distinct tokens of a name without articles and kinds of institutions, place names and common words in English; c is without marks already."""
+    words = F.filter(F.split(token_key(c), " "), lambda t: (F.length(t) > 1) & ~t.isin(*rules.TOKEN_STOP_WORDS))
+    return F.array_sort(F.array_distinct(F.transform(words, lambda t: F.coalesce(mapped(t, rules.TOKEN_TRANSLATIONS), t))))
+
+
+def query_variants(name: Column, country: Column) -> Column:
+    """array<struct<name,transformation>> of safe other forms to look a name up by: without a short acronym in parentheses, without what follows a `|`, without the country at the end.
+
+    Words that tell institutions apart stay, in parentheses, too.
+    """
+    words = "|".join(rules.PROTECTED_QUALIFIERS)
+    acronym = rf"\s*\((?=[^()]*[A-Z])(?!(?i:(?:[^()]*\W)?(?:{words})(?:\W[^()]*)?\)))(?=(?:[^A-Za-z()]*[A-Za-z0-9]){{1,12}}[^A-Za-z0-9()]*\))(?:[^()\sa-z]+(?:\s+[^()\sa-z]+){{0,2}})\)\s*"
+    plain = squeeze(F.regexp_replace(name, acronym, " "))
+    before = F.regexp_replace(squeeze(F.element_at(F.split(name, r"\|", 2), 1)), "^[ ,;/-]+|[ ,;/-]+$", "")
+    place = squeeze(F.coalesce(country, F.lit("")))
+    low, tail = F.lower(F.rtrim(name)), F.lower(place)
+    cut = lambda end: F.rtrim(F.left(F.rtrim(name), F.length(F.rtrim(name)) - F.length(end)))
+    ends = [(F.concat(F.lit("("), tail, F.lit(")")), r"$"), (tail, r",$"), (tail, r"\s[-–—]$")]
+    out = [F.when(F.lower(plain) != F.lower(name), F.struct(plain.alias("name"), F.lit("remove-short-parenthetical-abbreviation").alias("transformation")))]
+    out.append(F.when(F.contains(name, F.lit("|")) & (before != "") & (F.lower(before) != F.lower(name)), F.struct(before.alias("name"), F.lit("remove-local-name-after-pipe").alias("transformation"))))
+    for end, joint in ends:
+        rest = cut(end)
+        bare = squeeze(F.regexp_replace(rest, joint, "")) if joint != "$" else squeeze(rest)
+        fits = (place != "") & F.endswith(low, end) & (rest.rlike(joint) if joint != "$" else F.lit(True)) & (bare != "")
+        out.append(F.when(fits, F.struct(bare.alias("name"), F.lit("remove-ranking-country-suffix").alias("transformation"))))
+    return F.array_compact(F.array(*out))
+
+
 def fold_search(c: Column) -> Column:
     """The folded form that search boxes compare; c is without marks already."""
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
@@ -159,3 +223,21 @@ def visible_text(html_column: Column) -> Column:
     for tag in ("script", "style", "noscript", "svg", "template"):
         body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
     return squeeze(F.regexp_replace(body, "<[^>]+>", " "))
+
+
+def merge_unique(left: Column, right: Column) -> Column:
+    """left and then what right adds to it, compared trimmed and in any case; empty values of right are left out."""
+    key = lambda v: F.lower(F.trim(v))
+    start = F.coalesce(left, F.array().cast("array<string>"))
+    return F.aggregate(F.coalesce(right, F.array().cast("array<string>")), start, lambda acc, v: F.when((key(v) != "") & ~F.exists(acc, lambda a: key(a) == key(v)), F.array_append(acc, v)).otherwise(acc))
+
+
+def split_list(c: Column) -> Column:
+    """Trimmed parts between semicolons, empty ones left out."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda v: F.trim(v)), lambda v: v != "")
+
+
+def parse_tests(c: Column) -> Column:
+    """array<struct<name,score>> of `NAME:SCORE; NAME:SCORE`; parts without a colon are left out."""
+    parts = F.filter(split_list(c), lambda v: F.contains(v, F.lit(":")))
+    return F.transform(parts, lambda v: F.struct(F.upper(F.trim(F.substring_index(v, ":", 1))).alias("name"), F.trim(F.substring_index(v, ":", -1)).alias("score")))
