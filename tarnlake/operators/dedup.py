@@ -32,9 +32,18 @@ def single_owner(df: DataFrame, key: str, owner: str) -> DataFrame:
 
 
 def disambiguate(df: DataFrame, id_column: str, order: list[Column]) -> DataFrame:
-    """Repeated ids get _2, _3 and so on in the given order."""
-    n = F.row_number().over(Window.partitionBy(id_column).orderBy(*order))
-    return df.withColumn("_n", n).withColumn(id_column, F.when(F.col("_n") > 1, F.concat(id_column, F.lit("_"), F.col("_n"))).otherwise(F.col(id_column))).drop("_n")
+    """Repeated ids get the first free ones of _2, _3 and so on in the given order; what is an id already is not free.
+
+    An id that is repeated k times, while t ids look like it with a number, has its suffixes among the first k + t numbers.
+    """
+    ids = df.groupBy(F.col(id_column).alias("_id")).agg(F.count("*").alias("_k"))
+    numbered = ids.select(F.regexp_extract("_id", "^(.*)_[0-9]+$", 1).alias("_base")).groupBy("_base").agg(F.count("*").alias("_t"))
+    repeated = ids.where("_k > 1").join(numbered, F.col("_id") == F.col("_base"), "left")
+    tries = repeated.select("_id", F.explode(F.sequence(F.lit(2), (F.col("_k") + F.coalesce("_t", F.lit(0))).cast("int"))).alias("_n")).withColumn("_new", F.concat("_id", F.lit("_"), "_n"))
+    free = tries.join(ids.select(F.col("_id").alias("_new")), "_new", "left_anti").withColumn("_place", F.row_number().over(Window.partitionBy("_id").orderBy("_n")) + 1)
+    placed = df.withColumn("_r", F.row_number().over(Window.partitionBy(id_column).orderBy(*order)))
+    out = placed.join(free, (F.col(id_column) == F.col("_id")) & (F.col("_r") == F.col("_place")), "left")
+    return out.withColumn(id_column, F.coalesce("_new", id_column)).select(*df.columns)
 
 
 def batches(df: DataFrame, keys: list[str], order: list[Column], size: int) -> DataFrame:
@@ -54,6 +63,17 @@ def global_position(df: DataFrame, order: list[str], name: str = "position") ->
     return ranged.withColumn("_l", local).join(starts, "_p").withColumn(name, F.col("_s") + F.col("_l")).drop("_p", "_s", "_l")
 
 
+def running_total(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """The sum of `value` over all rows before each one in the whole order: summed within sorted ranges, which start where the ranges before end."""
+    from tarnlake.operators.storage import stash
+
+    ranged = stash(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_p").agg(F.sum(value).alias("_t")).select("_p", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_b"))  # one row per range
+    within = F.coalesce(F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("_w", within).join(starts, "_p").withColumn(name, F.col("_b") + F.col("_w")).drop("_p", "_w", "_b")
+
+
 def even_sample(df: DataFrame, order: list[str], k: int) -> DataFrame:
     """k rows at evenly spaced positions of the order (all, if there are no more): the i-th at round(i * (n - 1) / (k - 1)), halves to even."""
     placed = global_position(df, order)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tarnlake.functions import rules
 from tarnlake.operators.graph import flatten_chains
 
+# The groups of terms that speak for computer science.
+CS_GROUPS = ("computer-science", "software", "data-ai")
+
 
 def signals(text: Column, patterns: dict[str, str] | None = None) -> dict[str, Column]:
     """One boolean for each category of evidence that the text holds."""
@@ -17,10 +20,24 @@ def signals(text: Column, patterns: dict[str, str] | None = None) -> dict[str, C
 
 
 def weighted(text: Column, terms=rules.DISCIPLINE_TERMS) -> Column:
-    """The sum of the weights of the terms found as whole words in lower-cased text; one regular expression per weight and term."""
+    """The sum of the weights of the terms found as whole words in lower-cased text. A regular expression runs only for terms that occur at all."""
+    hits = lambda low: [F.when(F.contains(low, F.lit(t)) & low.rlike(rf"(?<![a-z0-9]){t}(?![a-z0-9])"), w).otherwise(0) for _, t, w in terms]
+    return F.element_at(F.transform(F.array(F.lower(text)), lambda low: reduce(lambda a, b: a + b, hits(low))), 1)
+
+
+def surface_group(text: Column, terms=rules.DISCIPLINE_TERMS) -> Column:
+    """Which side the terms found in a text speak for: cs, engineering, both or none."""
     low = F.lower(text)
-    hits = [F.when(low.rlike(rf"(?<![a-z0-9]){t}(?![a-z0-9])"), w).otherwise(0) for _, t, w in terms]
-    return reduce(lambda a, b: a + b, hits)
+    side = {True: [], False: []}
+    for group, t, _ in terms:
+        side[group in CS_GROUPS].append(F.contains(low, F.lit(t)) & low.rlike(rf"(?<![a-z0-9]){t}(?![a-z0-9])"))
+    cs, engineering = (F.coalesce(reduce(lambda a, b: a | b, side[k]), F.lit(False)) for k in (True, False))
+    return F.when(cs & engineering, "both").when(cs, "cs").when(engineering, "engineering").otherwise("none")
+
+
+def block_scores(blocks: Column, patterns) -> Column:
+    """The sum over blocks of text and (pattern, weight) pairs of the weights of those that occur."""
+    return F.aggregate(blocks, F.lit(0), lambda acc, b: acc + reduce(lambda x, y: x + y, (F.when(b.rlike("(?i)" + p), w).otherwise(0) for p, w in patterns)))
 
 
 def level(score: Column) -> Column:
@@ -62,10 +79,10 @@ def merged_status(df: DataFrame, keys: list[str], status: str, captcha_flag: str
 
 
 def coverage(df: DataFrame, keys: list[str], categories: list[str]) -> DataFrame:
-    """Per key and category: total, covered, rate in ten-thousandths, any and full."""
+    """Per key and category: total, covered, rate to four places (halves to even), any and full."""
     long_ = df.unpivot(keys, categories, "category", "has")
     n, c = F.count("*"), F.count_if("has")
-    return long_.groupBy(*keys, "category").agg(n.alias("total"), c.alias("covered"), F.floor((c * 20000 + n) / (n * 2)).cast("long").alias("rate_1e4"), F.bool_or("has").alias("has_any"), F.bool_and("has").alias("has_full"))
+    return long_.groupBy(*keys, "category").agg(n.alias("total"), c.alias("covered"), F.bround(c / n, 4).alias("rate"), F.bool_or("has").alias("has_any"), F.bool_and("has").alias("has_full"))
 
 
 def climb(pages: DataFrame, page: str, parent: str, stops: DataFrame, stop: str) -> DataFrame:

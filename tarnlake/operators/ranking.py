@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnlake.operators.dedup import global_position
+from tarnlake.operators.dedup import global_position, running_total
 
 
 def competition_rank(df: DataFrame, score: str, name: str = "rank") -> DataFrame:
-    """Ranks by falling score, equal scores sharing the first place. A score's rank is one more than the rows above it:
-    counted per distinct score, so only distinct scores meet in the running sum."""
-    w = Window.orderBy(F.col(score).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    places = df.groupBy(score).count().withColumn(name, F.coalesce(F.sum("count").over(w), F.lit(0)) + 1).select(F.col(score).alias("_s"), name)
+    """Ranks by falling score, equal scores sharing the first place, null scores last. A score's rank is one more than the rows
+    above it: distinct scores are counted and added up range by range, so no task sees them all."""
+    counts = df.groupBy(F.col(score).alias("_s")).count()
+    places = running_total(counts, [F.col("_s").desc_nulls_last()], "count", "_above").select("_s", (F.col("_above") + 1).alias(name))
     return df.join(places, df[score].eqNullSafe(F.col("_s"))).drop("_s")
 
 

@@ -7,23 +7,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions.scores import sequence_ratio
+from tarnlake.operators.storage import stash
+
+
+_BINS = 32
+
+
+def _letter_bins(name: str):
+    """How many characters of the name fall into each of some bins."""
+    at = F.transform(F.split(name, ""), lambda c: F.pmod(F.ascii(c), F.lit(_BINS)))
+    return F.aggregate(F.filter(at, lambda i: i.isNotNull()), F.array_repeat(F.lit(0), _BINS), lambda acc, i: F.transform(acc, lambda v, k: F.when(k == i, v + 1).otherwise(v)))
 
 
 def fuzzy_pairs(df: DataFrame, block: str, key: str, name: str, least: float = 0.9, shortest: int = 5) -> DataFrame:
-    """(block, a, b, ratio): rows of one block whose names are at least that alike, a before b. Names of lengths that cannot reach it are not compared."""
-    rows = df.where(F.length(name) >= shortest).select(block, F.col(key).alias("a"), F.col(name).alias("x"))
-    other = rows.select(F.col(block).alias("_b"), F.col("a").alias("b"), F.col("x").alias("y"))
-    n, m = F.length("x"), F.length("y")
-    pairs = rows.join(other, (F.col(block) == F.col("_b")) & (F.col("a") < F.col("b"))).where(2 * F.least(n, m) >= least * (n + m))
-    return pairs.select(block, "a", "b", sequence_ratio("x", "y").alias("ratio")).where(F.col("ratio") >= least)
+    """(block, a, b, ratio): rows of one block whose names are at least that alike, a before b.
+
+    Distinct names are compared once. What two names have in common is at most what they have of each letter, bin by bin: pairs whose lengths
+    or bins cannot reach the ratio (2 * common / total length) are left out before Python sees them. The work is quadratic in the names of a block.
+    """
+    rows = df.where(F.length(name) >= shortest).select(block, F.col(key).alias("k"), F.col(name).alias("x"))
+    names = stash(rows.select(block, "x").distinct().withColumn("n", F.length("x")).withColumn("bx", _letter_bins("x")), "names")
+    other = names.select(F.col(block).alias("_b"), F.col("x").alias("y"), F.col("n").alias("m"), F.col("bx").alias("by"))
+    met = names.join(other, (F.col(block) == F.col("_b")) & (F.col("x") != F.col("y"))).where(2 * F.least("n", "m") >= least * (F.col("n") + F.col("m")))
+    common = F.aggregate(F.zip_with("bx", "by", lambda p, q: F.least(p, q)), F.lit(0), lambda acc, v: acc + v)
+    likely = met.where(2 * common >= least * (F.col("n") + F.col("m"))).select(block, "x", "y")
+    alike = likely.select(block, "x", "y", sequence_ratio("x", "y").alias("ratio")).where(F.col("ratio") >= least)
+    same = names.select(block, "x", F.col("x").alias("y"), F.lit(1.0).alias("ratio"))
+    pairs = stash(alike.union(same), "alike-names")
+    out = pairs.join(rows.withColumnRenamed("k", "a"), [block, "x"]).join(rows.select(block, F.col("k").alias("b"), F.col("x").alias("y")), [block, "y"])
+    return out.where("a < b").select(block, "a", "b", "ratio")
 
 
 def constrained_components(rows: DataFrame, merges: DataFrame, protected: DataFrame, block: str) -> DataFrame:
     """(block, id, component): ids of each block joined by merges in their order, but never two ids of a protected pair.
 
     rows: block, id. merges: block, a, b, step. protected: block, a, b. A merge that would bring the two ids of a
-    protected pair into one component is refused. The order matters, so a block is worked through by one task;
-    blocks (a country, say) are independent.
+    protected pair into one component is refused. The order matters, so a block is worked through by one task, which holds the
+    block's ids, merges and pairs; blocks (a country, say) are independent.
     """
     tagged = rows.select(block, F.lit(0).alias("kind"), F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).cast("long").alias("step"))
     tagged = tagged.union(merges.select(block, F.lit(1), "a", "b", F.col("step").cast("long"))).union(protected.select(block, F.lit(2), "a", "b", F.lit(0).cast("long")))
@@ -55,3 +75,22 @@ def canonical(df: DataFrame, entity: str, label: str, order: str) -> DataFrame:
     """The most frequent label of each entity, the earliest of equally frequent ones."""
     counts = df.groupBy(entity, label).agg(F.count("*").alias("n"), F.min(order).alias("first"))
     return counts.groupBy(entity).agg(F.min_by(label, F.struct(-F.col("n"), F.col("first"))).alias(label))
+
+
+def canonical_id(members: DataFrame, entity: str, member: str, overrides: DataFrame, roots: DataFrame, manual: DataFrame, order: str) -> DataFrame:
+    """(entity, canonical): an override among the members, else an alias root, else a member of a reviewed group, else the earliest of the most frequent.
+
+    overrides, roots, manual: one column named as member. members: entity, member and order, one row for each appearance.
+    """
+    at = members.groupBy(entity, member).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    for i, side in enumerate((overrides, roots, manual)):
+        at = at.join(side.select(F.col(member)).distinct().withColumn(f"_{i}", F.lit(0)), member, "left")
+    place = F.struct(*(F.coalesce(f"_{i}", F.lit(1)) for i in range(3)), -F.col("n"), F.col("first"), F.col(member))
+    return at.groupBy(entity).agg(F.min_by(member, place).alias("canonical"))
+
+
+def relationship_conflicts(groups: DataFrame) -> DataFrame:
+    """(a, b): pairs of members, a < b, that one relationship merges and another keeps apart. groups: members (array), merge (boolean)."""
+    ids = groups.select("merge", F.array_sort(F.array_distinct("members")).alias("m"))
+    pairs = ids.select("merge", F.posexplode("m").alias("i", "a"), "m").select("merge", "a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.bool_or("merge").alias("x"), F.bool_or(~F.col("merge")).alias("y")).where("x AND y").select("a", "b")

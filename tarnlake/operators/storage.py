@@ -11,20 +11,39 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (local sessions only)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (local sessions only).
+
+    On a cluster without that setting this is an error: executors would each write to their own disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = f"file://{tempfile.mkdtemp(prefix='tarnlake-')}"
     return _own[app]
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tarnlake-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application stashed: for when the results have been written."""
+    _delete(spark, _home(spark))
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet into the shared folder and read again: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{_home(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
@@ -35,6 +54,4 @@ def drop_stash(df: DataFrame) -> None:
     """Deletes what stash() wrote, once nothing lazy reads it any more."""
     path = getattr(df, "_stash_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)

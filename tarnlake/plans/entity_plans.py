@@ -51,7 +51,7 @@ def anti_gap(spark, d):
 
 @query("""WITH s AS (SELECT DISTINCT l_suppkey AS o, l_partkey AS m FROM lineitem), p AS (SELECT x.o AS a, y.o AS b, count(*) AS shared FROM s x JOIN s y USING (m) WHERE x.o < y.o GROUP BY ALL) SELECT a, b, shared FROM p WHERE shared >= 10""")
 def overlap_join(spark, d):
-    return joins.overlaps(parquet(spark, d, "lineitem"), "l_suppkey", "l_partkey").where("shared >= 10")
+    return joins.overlaps(parquet(spark, d, "lineitem"), "l_suppkey", "l_partkey", 10)
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0)) AS both, (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0)) AS left_only, (SELECT count(*) FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0 EXCEPT SELECT o_custkey FROM orders)) AS right_only")
@@ -107,14 +107,9 @@ def fuzzy_pairs(spark, d):
 @query(r"""WITH t AS (SELECT item_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 1)) AS x FROM benchmark), u AS (SELECT doc_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 1)) AS y FROM documents),
 p AS (SELECT item_id, doc_id, len(list_intersect(x, y)) AS shared, len(x) + len(y) - len(list_intersect(x, y)) AS every FROM t, u) SELECT item_id, doc_id, shared, every FROM p WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY shared / every DESC, doc_id) = 1""")
 def token_jaccard(spark, d):
-    """The most similar document of each benchmark item by token sets, found through shared tokens and set sizes."""
-    toks = lambda name, key: parquet(spark, d, name).select(key, F.explode(F.array_distinct(F.filter(F.split(text.fold_search(F.col("text")), " "), lambda t: F.length(t) > 1))).alias("t"))
-    a, b = toks("benchmark", "item_id"), toks("documents", "doc_id")
-    shared = b.join(a, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
-    sized = shared.join(a.groupBy("item_id").agg(F.count("*").alias("n")), "item_id").join(b.groupBy("doc_id").agg(F.count("*").alias("m")), "doc_id")
-    every = F.col("n") + F.col("m") - F.col("shared")
-    best = F.max_by(F.struct("doc_id", "shared", every.alias("every")), F.struct(F.col("shared") / every, -F.col("doc_id"))).alias("x")
-    return sized.groupBy("item_id").agg(best).select("item_id", "x.doc_id", "x.shared", "x.every")
+    """The most similar document of each benchmark item by token sets."""
+    toks = lambda name, key: parquet(spark, d, name).select(F.col(key).alias("o"), F.explode(F.array_distinct(F.filter(F.split(text.fold_search(F.col("text")), " "), lambda t: F.length(t) > 1))).alias("m"))
+    return joins.most_alike(toks("benchmark", "item_id"), toks("documents", "doc_id")).toDF("item_id", "doc_id", "shared", "every")
 
 
 @query("SELECT c_nationkey, arg_min(c_mktsegment, (-n, first)) AS c_mktsegment FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY ALL) GROUP BY c_nationkey")
@@ -122,12 +117,14 @@ def canonical_choice(spark, d):
     return resolve.canonical(parquet(spark, d, "customer"), "c_nationkey", "c_mktsegment", "c_custkey")
 
 
-@query("""WITH o AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS kinds, max(event_id) AS last FROM events WHERE event_id % 2 = 0 AND user_id < 100 GROUP BY 1), n AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS kinds, max(event_id) AS last FROM events WHERE event_id % 2 = 1 AND user_id > 50 GROUP BY 1)
+@query("""WITH m AS (SELECT avg(epoch_us(ts)) AS mid FROM events), o AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS kinds, max(event_id) AS last FROM events, m WHERE epoch_us(ts) <= mid GROUP BY 1), n AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS kinds, max(event_id) AS last FROM events, m WHERE epoch_us(ts) > mid GROUP BY 1)
 SELECT coalesce(n.user_id, o.user_id) AS user_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.kinds, []), coalesce(n.kinds, [])))), ',') AS kinds, coalesce(n.last, o.last) AS last FROM o FULL JOIN n ON o.user_id = n.user_id""")
 def status_upsert(spark, d):
-    e = parquet(spark, d, "events")
+    """What the earlier half of the time left of each user, and what the later one brings: all events on one side or the other."""
+    e = parquet(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    mid = e.agg(F.avg("us")).first()[0]
     one = lambda df: df.groupBy("user_id").agg(F.collect_set("event_type").alias("kinds"), F.max("event_id").alias("last"))
-    out = joins.upsert(one(e.where("event_id % 2 = 0 AND user_id < 100")), one(e.where("event_id % 2 = 1 AND user_id > 50")), "user_id", ["kinds"], ["last"])
+    out = joins.upsert(one(e.where(F.col("us") <= mid)), one(e.where(F.col("us") > mid)), "user_id", ["kinds"], ["last"])
     return out.withColumn("kinds", F.array_join("kinds", ","))
 
 

@@ -52,7 +52,7 @@ def domain_contains(spark, d):
     return joins.within_domains(pages, "host", domains, "name").groupBy("domain").agg(F.count("*").alias("pages"))
 
 
-@query(rf"WITH {_PARTS}, f AS (SELECT page_id, regexp_replace(n, '^www\.', '') || '|' || lower(regexp_replace(p, '/+$', '')) || '|' || q AS fingerprint FROM scheme) SELECT page_id, fingerprint FROM f WHERE fingerprint IN (SELECT fingerprint FROM f GROUP BY 1 HAVING min(page_id) = max(page_id))")
+@query(rf"WITH {_PARTS}, f AS (SELECT page_id, regexp_replace(n, '^www\.', '') || '|' || regexp_replace(lower(url_decode(p)), '/+$', '') || '|' || lower(url_decode(regexp_extract(url, '^[^?#]*\?([^#]*)', 1))) AS fingerprint FROM scheme) SELECT page_id, fingerprint FROM f WHERE fingerprint IN (SELECT fingerprint FROM f GROUP BY 1 HAVING min(page_id) = max(page_id))")
 def url_single_owner(spark, d):
     rows = parquet(spark, d, "pages").select("page_id", urls.fingerprint(F.col("url")).alias("fingerprint"))
     return dedup.single_owner(rows, "fingerprint", "page_id")
@@ -82,7 +82,7 @@ def signal_detection(spark, d):
     return parquet(spark, d, "documents").select("doc_id", *(c.alias(k) for k, c in evidence.signals(F.col("text"), CORPUS_SIGNALS).items()))
 
 
-@query("WITH s AS (" + " UNION ALL ".join(f"SELECT lang, source, '{k}' AS category, regexp_matches(text, '(?i){p}') AS has FROM documents" for k, p in CORPUS_SIGNALS.items()) + ") SELECT lang, source, category, count(*) AS total, count(*) FILTER (has) AS covered, (count(*) FILTER (has) * 20000 + count(*)) // (count(*) * 2) AS rate_1e4, bool_or(has) AS has_any, bool_and(has) AS has_full FROM s GROUP BY ALL")
+@query("WITH s AS (" + " UNION ALL ".join(f"SELECT lang, source, '{k}' AS category, regexp_matches(text, '(?i){p}') AS has FROM documents" for k, p in CORPUS_SIGNALS.items()) + ") SELECT lang, source, category, count(*) AS total, count(*) FILTER (has) AS covered, round_even(count(*) FILTER (has) / count(*), 4) AS rate, bool_or(has) AS has_any, bool_and(has) AS has_full FROM s GROUP BY ALL")
 def signal_coverage(spark, d):
     rows = parquet(spark, d, "documents").select("lang", "source", *(c.alias(k) for k, c in evidence.signals(F.col("text"), CORPUS_SIGNALS).items()))
     return evidence.coverage(rows, ["lang", "source"], list(CORPUS_SIGNALS))

@@ -125,13 +125,13 @@ def id_suffixes(spark, d):
     return dedup.disambiguate(rows, "id", [F.col("o_orderkey")])
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, datediff('day', DATE '1999-06-01', CAST(o_orderdate AS DATE))::INT AS days,
-CASE WHEN CAST(o_orderdate AS DATE) < DATE '1999-06-01' THEN 'bad' WHEN datediff('day', DATE '1999-06-01', CAST(o_orderdate AS DATE)) <= 21 THEN 'soon' ELSE 'ok' END AS tone FROM orders WHERE o_orderdate >= DATE '2000-01-01'""")
+@query("""WITH o AS (SELECT o_orderkey, CAST(o_orderdate + INTERVAL 10 YEAR AS DATE) AS day FROM orders) SELECT o_orderkey, strftime(day, '%Y-%m-%d') AS date, datediff('day', DATE '2008-06-01', day)::INT AS days,
+CASE WHEN day < DATE '2008-06-01' THEN 'bad' WHEN datediff('day', DATE '2008-06-01', day) <= 21 THEN 'soon' ELSE 'ok' END AS tone FROM o """)
 def deadline_normalize(spark, d):
-    day = F.col("o_orderdate")
+    day = F.col("o_orderdate").cast("date") + F.expr("INTERVAL 10 YEAR")  # the parser reads years from 2000
     forms = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(day, "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format(day, "d MMMM yyyy")).otherwise(F.concat(F.date_format(day, "MMM d"), F.lit(", "), F.date_format(day, "yyyy")))
-    rows = parquet(spark, d, "orders").where("o_orderdate >= DATE '2000-01-01'").select("o_orderkey", forms.alias("said"))
-    as_of = F.lit("1999-06-01").cast("date")
+    rows = parquet(spark, d, "orders").select("o_orderkey", forms.alias("said"))
+    as_of = F.lit("2008-06-01").cast("date")
     parsed = rows.select("o_orderkey", dates.parse_date(F.col("said")).alias("date"))
     return parsed.withColumn("days", dates.days_until(F.col("date"), as_of)).withColumn("tone", dates.tone(F.col("days"))).withColumn("date", F.col("date").cast("string"))
 
