@@ -65,7 +65,7 @@ def countdown(days: Column) -> Column:
 
 def iso_stamp(c: Column) -> Column:
     """A timestamp in UTC as ISO text that ends in Z."""
-    return F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"(\.0+)?$", "Z")
+    return F.concat(F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.0+$", ""), F.lit("Z"))
 
 
 def capture_stamp(c: Column) -> Column:
