@@ -27,6 +27,40 @@ def json_table(spark: SparkSession, path: str, schema: T.StructType, multiline:
         return spark.createDataFrame([], schema)
 
 
+# The tables that pages are served from, with their forms.
+SCHEMAS = {
+    "universities": "id string, name struct<en:string,zh:string>, country string, region string, website string, subjects array<string>, sources array<string>",
+    "rankings": "rank int, universityId string, name string, country string, score double, year int",
+    "programs": "id string, universityId string, subject string, dept string, program string, deadlines array<struct<round:string,date:string,applicantGroup:string>>, materials array<string>, "
+    "requirements struct<gpa:string,ielts:string,toefl:string,language:string,academic:string>, sourceUrl string, verified boolean, updatedAt string, deadlineReviewed boolean, evidenceUrls array<string>",
+    "aliases": "canonicalById map<string,string>, reasonById map<string,string>",
+    "coverage": "universityId string, coverageStatus string, urls array<string>, completeness int",
+    "official_coverage": "schools array<struct<canonicalId:string,name:string,coverageStatus:string,urls:array<string>,rankingUniversityIds:array<string>>>",
+    "captures": "schools array<struct<canonicalId:string,name:string,country:string,captureStatus:string,mainlandChina:boolean>>",
+}
+
+
+def typed(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """One of the published JSON tables by its form; an empty one where there is no file."""
+    schema = spark.createDataFrame([], SCHEMAS[kind]).schema
+    return json_table(spark, path, schema)
+
+
+def register(spark: SparkSession, root: str, files: dict[str, str]) -> None:
+    """Temporary views of the published tables under root: file name -> kind."""
+    for name, kind in files.items():
+        typed(spark, f"{root}/{name}", kind).createOrReplaceTempView(name.rsplit(".", 1)[0])
+
+
+def captured_text(bodies: DataFrame, pages: DataFrame) -> DataFrame:
+    """pages (path, status) that were captured, with the text of their body: strings of JSON captures, what is visible of HTML."""
+    from tarnlake.functions import extract, text
+
+    both = pages.where("status = 'captured'").join(bodies.select("path", F.col("text").alias("_t")), "path")
+    is_json = F.col("path").rlike(r"\.json(\.gz)?$")
+    return both.withColumn("text", F.when(is_json, extract.json_text(F.when(is_json, F.col("_t")))).otherwise(text.visible_text(F.col("_t")))).drop("_t")
+
+
 def payload_items(df: DataFrame, column: str, item: str, keys: tuple[str, ...] = ("items", "data", "value", "results")) -> DataFrame:
     """Rows of a payload that is a list, or an object that holds the list under one of several keys."""
     held = F.coalesce(*(F.get_json_object(column, f"$.{k}") for k in keys))
@@ -72,8 +106,9 @@ def raw_bodies(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def csv_table(spark: SparkSession, path: str, columns: int) -> DataFrame:
-    """A CSV with a header; rows that lack one of the first columns are left out."""
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """A CSV with a header; rows shorter than the given number of columns are left out, empty cells are not."""
+    df = spark.read.option("header", True).option("mode", "PERMISSIVE").option("nullValue", "\x00").option("emptyValue", "").csv(path)
+    # A short row ends in nulls; cells that are there are texts, empty ones, too.
     return df.dropna(subset=df.columns[:columns])
 
 
