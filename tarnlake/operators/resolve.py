@@ -25,17 +25,17 @@ def fuzzy_pairs(df: DataFrame, block: str, key: str, name: str, least: float = 0
     Distinct names are compared once. What two names have in common is at most what they have of each letter, bin by bin: pairs whose lengths
     or bins cannot reach the ratio (2 * common / total length) are left out before Python sees them. The work is quadratic in the names of a block.
     """
-    rows = df.where(F.length(name) >= shortest).select(block, F.col(key).alias("k"), F.col(name).alias("x"))
-    names = stash(rows.select(block, "x").distinct().withColumn("n", F.length("x")).withColumn("bx", _letter_bins("x")), "names")
-    other = names.select(F.col(block).alias("_b"), F.col("x").alias("y"), F.col("n").alias("m"), F.col("bx").alias("by"))
-    met = names.join(other, (F.col(block) == F.col("_b")) & (F.col("x") != F.col("y"))).where(2 * F.least("n", "m") >= least * (F.col("n") + F.col("m")))
+    rows = df.where(F.length(name) >= shortest).select(F.col(block).alias("_block"), F.col(key).alias("_key"), F.col(name).alias("x"))
+    names = stash(rows.select("_block", "x").distinct().withColumn("n", F.length("x")).withColumn("bx", _letter_bins("x")), "names")
+    other = names.select(F.col("_block").alias("_b"), F.col("x").alias("y"), F.col("n").alias("m"), F.col("bx").alias("by"))
+    met = names.join(other, (F.col("_block") == F.col("_b")) & (F.col("x") != F.col("y"))).where(2 * F.least("n", "m") >= least * (F.col("n") + F.col("m")))
     common = F.aggregate(F.zip_with("bx", "by", lambda p, q: F.least(p, q)), F.lit(0), lambda acc, v: acc + v)
-    likely = met.where(2 * common >= least * (F.col("n") + F.col("m"))).select(block, "x", "y")
-    alike = likely.select(block, "x", "y", sequence_ratio("x", "y").alias("ratio")).where(F.col("ratio") >= least)
-    same = names.select(block, "x", F.col("x").alias("y"), F.lit(1.0).alias("ratio"))
+    likely = met.where(2 * common >= least * (F.col("n") + F.col("m"))).select("_block", "x", "y")
+    alike = likely.select("_block", "x", "y", sequence_ratio("x", "y").alias("ratio")).where(F.col("ratio") >= least)
+    same = names.select("_block", "x", F.col("x").alias("y"), F.lit(1.0).alias("ratio"))
     pairs = stash(alike.union(same), "alike-names")
-    out = pairs.join(rows.withColumnRenamed("k", "a"), [block, "x"]).join(rows.select(block, F.col("k").alias("b"), F.col("x").alias("y")), [block, "y"])
-    return out.where("a < b").select(block, "a", "b", "ratio")
+    out = pairs.join(rows.withColumnRenamed("_key", "a"), ["_block", "x"]).join(rows.select("_block", F.col("_key").alias("b"), F.col("x").alias("y")), ["_block", "y"])
+    return out.where("a < b").select(F.col("_block").alias(block), "a", "b", "ratio")
 
 
 def constrained_components(rows: DataFrame, merges: DataFrame, protected: DataFrame, block: str) -> DataFrame:

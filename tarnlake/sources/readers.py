@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -93,7 +94,7 @@ def gunzip_text(body: pd.Series) -> pd.Series:
             return None
         try:
             return (gzip.decompress(b) if b[:2] == b"\x1f\x8b" else b).decode("utf-8", "replace")
-        except OSError:
+        except (OSError, EOFError, zlib.error):
             return None
 
     return body.map(text)
@@ -106,10 +107,12 @@ def raw_bodies(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def csv_table(spark: SparkSession, path: str, columns: int) -> DataFrame:
-    """A CSV with a header; rows shorter than the given number of columns are left out, empty cells are not."""
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").option("nullValue", "\x00").option("emptyValue", "").csv(path)
-    # A short row ends in nulls; cells that are there are texts, empty ones, too.
-    return df.dropna(subset=df.columns[:columns])
+    """A CSV with a header; rows shorter than the given number of columns are left out, empty cells are empty texts."""
+    names = spark.read.option("header", True).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_corrupt_record"]])
+    df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path)
+    cells = F.size(F.split("_corrupt_record", ',(?=(?:[^"]*"[^"]*")*[^"]*$)'))
+    return df.where(F.col("_corrupt_record").isNull() | (cells >= columns)).na.fill("").drop("_corrupt_record")
 
 
 def sections(lines: DataFrame) -> DataFrame:
