@@ -56,11 +56,20 @@ def days_until(day: Column, as_of: Column) -> Column:
 
 
 def tone(days: Column) -> Column:
-    return F.when(days < 0, "bad").when(days <= 21, "soon").otherwise("ok")
+    return F.when(days.isNull(), "dim").when(days < 0, "bad").when(days <= 21, "soon").otherwise("ok")
+
+
+# What pages write beside a deadline that is past, due today or due tomorrow.
+PAST, TODAY, TOMORROW = "过期 ", "今日截止", "明日截止"
 
 
 def countdown(days: Column) -> Column:
-    return F.when(days < 0, "closed").when(days == 0, "today").when(days < 60, F.concat(days.cast("string"), F.lit("d"))).otherwise(F.concat(F.round(days / 30).cast("int").cast("string"), F.lit("mo")))
+    """Days up to 30, whole months of 30 days beyond."""
+    d = lambda c: F.concat(c.cast("string"), F.lit("d"))
+    return (
+        F.when(days.isNull(), "-").when(days < 0, F.concat(F.lit(PAST), d(-days))).when(days == 0, TODAY).when(days == 1, TOMORROW).when(days <= 30, d(days))
+        .otherwise(F.concat(F.floor(days / 30).cast("string"), F.lit("mo")))
+    )
 
 
 def iso_stamp(c: Column) -> Column:

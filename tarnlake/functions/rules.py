@@ -13,6 +13,22 @@ COUNTRY_ALIASES = {
     "U.K.": "United Kingdom",
 }
 
+# The alias tables of other steps, each used where it is named.
+ALIAS_COUNTRIES = {"Hong Kong SAR": "Hong Kong", "China (Mainland)": "China", "United States of America": "United States", "USA": "United States"}
+TARGET_COUNTRIES = {
+    "China-Hong Kong": "Hong Kong", "China-Macau": "Macau", "China-Taiwan": "Taiwan", "Macao": "Macau", "Czech Republic": "Czechia", "Russian Federation": "Russia", "Türkiye": "Turkey",
+}
+REGISTRY_COUNTRIES = {
+    "czech republic": "czechia", "hong kong sar": "hong kong", "korea": "south korea", "republic of korea": "south korea", "russian federation": "russia",
+    "taiwan, province of china": "taiwan", "turkiye": "turkey", "united states of america": "united states", "uk": "united kingdom", "u k": "united kingdom",
+}
+COUNTRY_CODES = {
+    "us": "united states", "gb": "united kingdom", "uk": "united kingdom", "cn": "china", "ca": "canada", "au": "australia", "de": "germany",
+    "fr": "france", "it": "italy", "es": "spain", "ch": "switzerland", "nl": "netherlands", "be": "belgium", "se": "sweden", "fi": "finland",
+    "at": "austria", "pl": "poland", "cz": "czechia", "tr": "turkey", "pt": "portugal", "no": "norway", "dk": "denmark", "ie": "ireland",
+    "jp": "japan", "kr": "south korea", "in": "india", "tw": "taiwan",
+}
+
 # Regions of countries; others are their own region.
 REGIONS = {
     "United States": "North America", "USA": "North America", "Canada": "North America",

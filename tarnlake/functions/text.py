@@ -176,16 +176,25 @@ def tokens(c: Column) -> Column:
 
 
 def name_variants(c: Column) -> Column:
-    return F.array_distinct(F.array(c, F.trim(F.regexp_replace(c, r"\s*\([A-Z]{2,10}\)\s*$", ""))))
+    """The token key of a name, and that of the name without a short acronym in parentheses at its end."""
+    short = token_key(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*\([A-Z0-9.&-]{2,10}\)\s*$", ""))
+    return F.filter(F.array_distinct(F.array(token_key(F.coalesce(c, F.lit(""))), short)), lambda v: v != "")
 
 
 def mapped(c: Column, values: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[c]
 
 
-def country(c: Column) -> Column:
+def country(c: Column, aliases: dict[str, str] | None = None) -> Column:
+    """The label that a country is published under, or what one of the other alias tables says."""
     s = squeeze(F.coalesce(c, F.lit("")))
-    return F.coalesce(mapped(s, rules.COUNTRY_ALIASES), s)
+    return F.coalesce(mapped(s, aliases or rules.COUNTRY_ALIASES), s)
+
+
+def registry_country(c: Column) -> Column:
+    """A country as registries name it: lower case without marks (c is without them already), codes of two letters spelt out."""
+    s = squeeze(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("_"), F.lit(" ")))
+    return F.coalesce(F.when(F.length(s) == 2, mapped(s, rules.COUNTRY_CODES)), mapped(s, rules.REGISTRY_COUNTRIES), s)
 
 
 def region(c: Column) -> Column:
@@ -209,9 +218,15 @@ def programme_title(c: Column) -> Column:
 
 
 def safe_id(c: Column) -> Column:
+    """An id that is safe as a file name; c is without marks already."""
     return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9._-]+", "_"), "^_+|_+$", ""), F.lit("")), F.lit("unknown"))
 
 
+def plain_text(c: Column) -> Column:
+    """Tags dropped; html_unescape() reads the entities."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", ""))
+
+
 def first_int(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c.cast("string"), r"(\d+)", 1), F.lit("")).try_cast("int")
 

@@ -109,3 +109,38 @@ def manifest_coverage(targets: DataFrame, pages: DataFrame, key: str, kinds: lis
 def pages_complete(pages: DataFrame, key: str) -> DataFrame:
     """(key, strict, closed): strict if all pages are captured, closed if none is left to be tried again."""
     return pages.groupBy(key).agg(F.bool_and(F.col("outcome") == "captured").alias("strict"), (F.count_if(F.col("outcome").isin("pending", "retryableError")) == 0).alias("closed"))
+
+
+def store_gate(programs: DataFrame, institutions: DataFrame, reason: Column, official: Column, as_of: Column) -> list[DataFrame]:
+    """The rules that a store of programmes must keep, as violations: unknown institution, no programme by title, url off the institution's domains, deadlines that are no ISO dates or past, repeated ids, no detail.
+
+    programs: id, university_id, title, url, deadlines (array of text), details (number of them). institutions: id. official: whether the url is on the institution's domains.
+    """
+    p = programs.withColumn("_bad", F.filter("deadlines", lambda d: F.when(d.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(d, "yyyy-MM-dd")).isNull()))
+    past = F.exists("deadlines", lambda d: F.coalesce(F.try_to_date(d, "yyyy-MM-dd") < as_of, F.lit(False)))
+    named = p.withColumn("_reason", reason)
+    return [
+        orphans(p, "orphan", "id", "university_id", institutions, "id"),
+        failing(named, "non-program", "id", F.col("_reason") == "", "_reason"),
+        failing(p, "domain-mismatch", "id", official, "url"),
+        failing(p, "non-iso-deadline", "id", F.size("_bad") == 0, "title"),
+        failing(p, "past-deadline", "id", ~past, "title"),
+        failing(p, "warning-no-detail", "id", F.col("details") > 0, "title"),
+        duplicates(p, "duplicate-id", "id"),
+    ]
+
+
+def rankings_check(rows: DataFrame, expected: int) -> DataFrame:
+    """(source, rows, missing_ids, shared_ranks, ok): as many rows as expected and no row without an id; ranks that several share are told, not wrong."""
+    per = rows.groupBy("source", "rank").agg(F.count("*").alias("n"), F.count_if(F.coalesce("id", F.lit("")) == "").alias("m"))
+    return per.groupBy("source").agg(F.sum("n").alias("rows"), F.sum("m").alias("missing_ids"), F.count_if(F.col("n") > 1).alias("shared_ranks"), ((F.sum("n") == expected) & (F.sum("m") == 0)).alias("ok"))
+
+
+def dedup_check(boards: DataFrame, goal: DataFrame, key: str) -> DataFrame:
+    """One row: rows and distinct keys of all boards, keys on several, and the keys that only the boards or only the goal have."""
+    per = boards.groupBy(key).agg(F.count_distinct("source").alias("s"), F.count("*").alias("n"))
+    g = goal.select(key).distinct().withColumn("_g", F.lit(True))
+    both = per.withColumn("_b", F.lit(True)).join(g, key, "full")
+    return both.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("_b").alias("keys"), F.count_if(F.col("s") > 1).alias("on_several"), F.count_if(F.col("_g").isNull()).alias("only_boards"), F.count_if(F.col("_b").isNull()).alias("only_goal"),
+    )

@@ -82,3 +82,18 @@ def even_sample(df: DataFrame, order: list[str], k: int) -> DataFrame:
         return placed
     wanted = df.sparkSession.createDataFrame([(round(i * (n - 1) / (k - 1)),) for i in range(k)], "position long").distinct()
     return placed.join(F.broadcast(wanted), "position")  # k rows
+
+
+def select_urls(rows: DataFrame, owner: str, url: str, score: str, fingerprint: Column, title: Column, k: int = 3) -> DataFrame:
+    """Up to k urls of each owner: fingerprints of several owners go for all, of one fingerprint and of one catalogue title (null: none) the best stays; by score, https first, shorter first."""
+    order = [F.col(score).desc(), F.startswith(url, F.lit("https:")).desc(), F.length(url), F.col(url)]
+    known = rows.withColumns({"_f": fingerprint, "_t": F.lower(F.trim(F.regexp_replace(title, r"\s+", " ")))})
+    own = keep_best(single_owner(known, "_f", owner), [owner, "_f"], order)
+    # Rows without a title are told apart by their fingerprint.
+    titled = keep_best(own.withColumn("_t", F.coalesce(F.concat(F.lit("t:"), "_t"), F.concat(F.lit("f:"), "_f"))), [owner, "_t"], order)
+    return top_k(titled, [owner], order, k).drop("_f", "_t")
+
+
+def unambiguous(pairs: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value): a map turned round; keys of several values are left out."""
+    return pairs.groupBy(key).agg(F.min(value).alias(value), F.max(value).alias("_b")).where(F.col(value) == F.col("_b")).drop("_b")

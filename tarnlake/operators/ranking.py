@@ -39,3 +39,24 @@ def mean_rank(boards: list[DataFrame], key: str, least: int) -> DataFrame:
     for b in boards[1:]:
         every = every.unionByName(b.select(key, "rank"))
     return every.groupBy(key).agg(F.count("*").alias("boards"), F.avg("rank").alias("mean_rank")).where(F.col("boards") >= least)
+
+
+def featured(ranks: DataFrame, names: DataFrame, key: str, least: int, n: int, name_key: Column) -> DataFrame:
+    """The n keys of best mean rank on at least `least` boards, of those with one name key the first. ranks: key, rank. names: key, name."""
+    from tarnlake.operators.dedup import keep_best
+
+    means = ranks.groupBy(key).agg(F.count("*").alias("boards"), F.avg("rank").alias("mean_rank")).where(F.col("boards") >= least)
+    named = means.join(names, key).withColumn("_n", name_key)
+    order = [F.col("mean_rank"), F.col(key)]
+    return first_n(keep_best(named, ["_n"], order).drop("_n"), order, n)
+
+
+def universities(rankings: DataFrame, order: list[str], region: Column) -> DataFrame:
+    """(id, name, country, region, sources): one row per institution of the boards, in order: the first name, the first country that is not empty, its boards. rankings: source, id, name, country."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("source"))
+    known = rankings.where("id <> '' AND name <> ''").withColumn("_p", place)
+    one = known.groupBy("id").agg(
+        F.min_by("name", F.struct("_p", "name")).alias("name"), F.min_by(F.nullif("country", F.lit("")), F.when(F.col("country") != "", F.struct("_p", "country"))).alias("country"), F.array_sort(F.collect_set(F.struct("_p", "source"))).alias("_s"),
+    )
+    out = one.withColumn("country", F.coalesce("country", F.lit(""))).withColumn("sources", F.transform("_s", lambda s: s["source"])).drop("_s")
+    return out.withColumn("region", region)
