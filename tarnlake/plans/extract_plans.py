@@ -53,7 +53,7 @@ def board_embedded_state(spark, d):
     return rankings.the(_payload(_board(spark, d), "source", item).select("source", F.lit(2025).alias("year"), body.alias("body")), 60).select("source", "rank_lower", "rank_upper", "rank_type", "university_id", "country")
 
 
-@query(f"""{_BOARD} SELECT source, (1 + c_custkey % 40)::INT AS rank, {_SLUG} AS university_id, CASE WHEN c_custkey % 6 <> 0 THEN c_custkey % 90 + 0.5 END AS score FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY 1 + c_custkey % 40, i) <= 50""")
+@query(f"""{_BOARD} SELECT source, (1 + c_custkey % 40)::INT AS rank, {_SLUG} AS university_id, CASE WHEN c_custkey % 6 <> 0 THEN (c_custkey % 90 + 0.5)::DOUBLE END AS score FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY 1 + c_custkey % 40, i) <= 50""")
 def board_nodes(spark, d):
     """A board whose file has titles with tags, ranks such as `=12`, and scores that may be no numbers."""
     k = F.col("c_custkey")
@@ -149,7 +149,7 @@ def sitemap_locations(spark, d):
     body = c.groupBy("c_nationkey").agg(F.array_join(F.collect_list(item), "").alias("x"), F.array_join(F.collect_list(line), "\n").alias("r"))
     xml = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "x", F.lit("</urlset>")).cast("binary")
     got = body.select("c_nationkey", extract.sitemap(xml).alias("s"), F.size(extract.robots_sitemaps(F.col("r"), F.array(F.lit("x.org")))).alias("named"))
-    return got.select("c_nationkey", F.size("s.locations").alias("locations"), F.array_min("s.locations").alias("first"), "named")
+    return got.select("c_nationkey", F.size("s.locations").cast("long").alias("locations"), F.array_min("s.locations").alias("first"), F.col("named").cast("long").alias("named"))
 
 
 _RELATIVE = ("/a/b/", "c?utm_source=x&k=1", "https://WWW.Other.org:8080/p%20q/?ref=1#top", "../up", "mailto:x@y.z", "file.pdf", "?page=2", "//cdn.example.org/x")

@@ -34,7 +34,7 @@ def quoted(value) -> str:
         return "NULL"
     if isinstance(value, str):
         return "'" + value.replace("'", "''") + "'"
-    return str(value)
+    return f"{value!r}::DOUBLE" if isinstance(value, float) else str(value)
 
 
 def pick_sql(values, key: str, step: int = 1) -> str:
