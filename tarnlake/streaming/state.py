@@ -22,7 +22,9 @@ def until_first(df: DataFrame, keys: list[str], order: str, flag: str) -> DataFr
 
 def windowed_counts(events: DataFrame, time: str = "ts", kind: str = "event_type", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums per window and kind; on a stream, rows later than the watermark are dropped."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width), kind).agg(F.count("*").alias("events"), F.sum(F.floor(F.col("value") * 100).cast("long")).alias("cents")).select(F.col("window.start").alias("start"), kind, "events", "cents")
+    plain = dict(events.dtypes)[time]
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need the type with a zone
+    return timed.withWatermark(time, late).groupBy(F.window(time, width), kind).agg(F.count("*").alias("events"), F.sum(F.floor(F.col("value") * 100).cast("long")).alias("cents")).select(F.col("window.start").cast(plain).alias("start"), kind, "events", "cents")
 
 
 def frontier(path: str, key: str, status: str):

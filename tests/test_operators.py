@@ -83,3 +83,14 @@ def test_frontier_keeps_best_status(spark, tmp_path):
     step(spark.createDataFrame([("a", "error"), ("b", "captured")], "u string, s string"), 0)
     step(spark.createDataFrame([("a", "captured"), ("b", "error")], "u string, s string"), 1)
     assert pairs(spark.read.parquet(str(tmp_path / "v1")).select("u", "s")) == [("a", "captured"), ("b", "captured")]
+
+
+def test_windows_on_a_stream(spark, tmp_path):
+    """The same counts from a stream as from the table."""
+    from tests.conftest import SF
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(SF)
+    q = state.windowed_counts(stream).writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert pairs(spark.table("windows")) == pairs(state.windowed_counts(events)) and spark.table("windows").count() > 0
