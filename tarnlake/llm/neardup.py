@@ -11,7 +11,10 @@ class is compared with the bucket's smallest id, in small buckets with all other
 leaves more than one component are dealt into blocks of bounded size, and the classes outside the bucket's largest
 component are compared with all others, two blocks at a time; a pair that meets in several buckets is compared in one
 of them, unless it is in one component by then. What comes out of two blocks is at most one link for each
-component that goes, however many pairs there are. Every link is confirmed on the full sets.
+component that goes, however many pairs there are: sets are compared all with all by a product of incidence matrices.
+Every link is confirmed on the full sets, which are sets of 64-bit hashes
+of shingles; pairs with fewer equal signature values than all but one in a million pairs at the threshold have are not
+looked at.
 
 Defined results: a null or empty text, or one of white space, has no shingles and links with nothing; a text of
 fewer words than a shingle is one shingle; rows with a null id link with nothing and have a null component_id;
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import arrow, components, drop_stash, stash, table
+from tarnlake.llm.common import arrow, components, drop_stash, joined_by_size, stash, table
 from tarnlake.llm.lattice import runs_of
 from tarnlake.llm.textscan import LOWER, Runs, U, Words, distinct_per_text, mix, pieces, texts
 
@@ -38,7 +41,7 @@ SMALL = 6  # buckets up to this size are compared pair by pair
 SCREEN_ROWS = 4096  # rows in a block of a larger bucket, by signatures
 BLOCK_ROWS = 512  # rows and shingles in a block of it, by sets
 BLOCK_SHINGLES = 1 << 18
-LARGE = 64  # rows of equal sets from which a class may be joined by broadcast
+INCIDENCE = 1 << 13  # columns of a matrix of sets
 _MULT = mix(np.arange(1, 2 * TABLES * VALUES + 1, dtype=U)) | U(1)
 _XOR = mix(np.arange(101, 2 * TABLES * VALUES + 101, dtype=U))
 
@@ -145,9 +148,9 @@ def _alike(percent: int):
 
 
 def _likely(batches, percent: int):
-    """Pairs to test of two blocks of a bucket, its rows on side 0 and those outside its largest component on side 1: the group, two row numbers and the number of equal signature values.
+    """Pairs to test of two blocks of a bucket, its rows on side 0 and those outside its largest component on side 1: the group and two row numbers.
 
-    A pair is tested in one bucket only: the first of the tables i = j that it shares, else the first of all.
+    A pair makes its rows open in one bucket only: the first of the tables i = j that it shares, else the first of all.
     """
     least = _cut(percent)
     for group in runs_of(batches, ["bucket", "p", "q"]):
@@ -164,58 +167,77 @@ def _likely(batches, percent: int):
         for j in y:
             i = x[(comp[x] != comp[j]) & ((comp[x] == main[j]) | (rep[x] < rep[j])) & (100 * np.minimum(size[x], size[j]) >= percent * np.maximum(size[x], size[j]))]
             equal = (sig[i] == sig[j]).sum(1)
-            i, equal = i[equal >= least], equal[equal >= least]
+            i = i[equal >= least]
             same = keys[i] == keys[j]
             both = same[:, :TABLES] & same[:, TABLES:]
             if one == two:
                 here = both.argmax(1) == one
             else:
                 here = ~both.any(1) & (same[:, :TABLES].argmax(1) == one) & (same[:, TABLES:].argmax(1) == two)
-            found.append((np.full(here.sum(), j), i[here], equal[here]))
-        j, i, equal = (np.concatenate(c) for c in zip(*found, strict=True))
+            found.append((np.full(here.sum(), j), i[here]))
+        j, i = (np.concatenate(c) for c in zip(*found, strict=True))
         if len(j):
-            yield group, j, i, equal
+            yield group, j, i
 
 
 def _open(percent: int):
     """Rows of a bucket that have a pair to test."""
 
     def run(batches):
-        for group, j, i, _ in _likely(batches, percent):
+        for group, j, i in _likely(batches, percent):
             some = pa.array(np.union1d(i, j))
             yield from group.select(["bucket", "rep", "n_shingles", "sig"]).take(some).to_batches()
 
     return run
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of sets, all left with all right: a product of incidence matrices over the values of both sides, some thousands at a time."""
+    at = [np.repeat(np.arange(len(side)), [len(v) for v in side]) for side in (left, right)]
+    values = [np.concatenate(side) for side in (left, right)]
+    known = np.intersect1d(np.unique(values[0]), np.unique(values[1]), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(known):
+        return out
+    place = [np.searchsorted(known, v) for v in values]
+    here = [known[np.minimum(k, len(known) - 1)] == v for k, v in zip(place, values, strict=True)]
+    rows, cols = ([x[h] for x, h in zip(xs, here, strict=True)] for xs in (at, place))
+    for begin in range(0, len(known), INCIDENCE):
+        width = min(INCIDENCE, len(known) - begin)
+        one = []
+        for n, r, c in zip((len(left), len(right)), rows, cols, strict=True):
+            some = (c >= begin) & (c < begin + width)
+            m = np.zeros((n, width), np.float32)
+            m[r[some], c[some] - begin] = 1
+            one.append(m)
+        out += one[0] @ one[1].T
+    return out
+
+
 def _blocks(percent: int):
-    """Links that join two components. Pairs joined by what the group has found so far are left out; likely ones come first."""
+    """Links that join two components, of two blocks of a bucket: all pairs of different components by their full sets."""
 
     def run(batches):
-        for group, j, i, equal in _likely(batches, percent):
+        for group in runs_of(batches, ["bucket", "p", "q"]):
+            group = group.combine_chunks()
+            side = np.asarray(group.column("side"))
+            x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(x) or not len(y):
+                continue
             rep, comp = (np.asarray(group.column(c)) for c in ("rep", "comp"))
-            sets = [np.frombuffer(b, U) for b in group.column("set").to_pylist()]
-            ends = np.cumsum([len(b) for b in sets])
-            known, ids = np.unique(np.concatenate(sets), return_inverse=True)
-            ids = np.split(ids, ends[:-1])
-            marked = np.zeros(len(known), bool)
-            label = comp.copy()
-            links = []
-            order = np.lexsort((j, -equal))
-            cuts = np.flatnonzero((np.diff(equal[order]) != 0) | (np.diff(j[order]) != 0)) + 1
-            for part in np.split(order, cuts):
-                right, left = j[part[0]], i[part]
-                left = left[label[left] != label[right]]
-                if not len(left):
-                    continue
-                marked[ids[right]] = True
-                n = np.array([len(ids[k]) for k in left])
-                shared = np.add.reduceat(marked[np.concatenate([ids[k] for k in left])], np.cumsum(n) - n, dtype=np.int64)
-                marked[ids[right]] = False
-                for k in left[100 * shared >= percent * (n + len(ids[right]) - shared)]:
-                    if label[k] != label[right]:
-                        links.append((min(rep[k], rep[right]), max(rep[k], rep[right])))
-                        label[label == label[k]] = label[right]
+            sets = [np.frombuffer(b.as_buffer(), U) for b in group.column("set")]
+            size = np.array([len(v) for v in sets], np.float32)
+            shared = _shared([sets[i] for i in x], [sets[j] for j in y])
+            good = 100 * shared >= percent * (size[x][:, None] + size[y][None, :] - shared)
+            i, j = np.nonzero(good & (comp[x][:, None] != comp[y][None, :]))
+            i, j = x[i], y[j]
+            label, links = comp.copy(), []
+            while len(i):  # one link for each component that goes
+                a, b = i[0], j[0]
+                links.append((min(rep[a], rep[b]), max(rep[a], rep[b])))
+                label[label == label[a]] = label[b]
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
@@ -261,15 +283,16 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
     links = stash(confirm(likely(star.union(each))), "links")
     merged = stash(components(own.union(links), "near-components"), "near-merged")
     large = in_bucket.where(F.col("members") > SMALL)
+    in_buckets = in_bucket.count()
     diagonal = F.col("table") % (TABLES + 1) == 0
 
     def dealt(rows: DataFrame, most: int, weight: int) -> DataFrame:
         """Rows of buckets, block by block: all on side 0, those outside the largest component on side 1."""
         minor = F.col("comp") != F.col("main")
         blocks = lambda n, w: F.ceil(F.greatest(n / most, w / weight)).cast("int")
-        per = rows.groupBy("bucket").agg(blocks(F.count("*"), F.sum("n_shingles")).alias("ps"), blocks(F.count_if(minor), F.sum(F.when(minor, F.col("n_shingles")))).alias("qs"))
+        per = rows.groupBy("bucket").agg(blocks(F.count("*"), F.sum("n_shingles")).alias("ps"), blocks(F.count_if(minor), F.sum(F.when(minor, F.col("n_shingles")))).alias("qs"), F.count("*").alias("n"))
         block = lambda n: F.pmod(F.xxhash64("rep", "bucket"), F.col(n)).cast("int")
-        placed = rows.join(per, "bucket").withColumn("p", block("ps")).withColumn("q", block("qs"))
+        placed = joined_by_size(rows, per, ["bucket"], "n", in_buckets).withColumn("p", block("ps")).withColumn("q", block("qs"))
         every = placed.withColumn("q", F.explode(F.expr("sequence(0, qs - 1)"))).withColumn("side", F.lit(0))
         rest = placed.where(minor).withColumn("p", F.explode(F.expr("sequence(0, ps - 1)"))).withColumn("side", F.lit(1))
         return every.unionByName(rest).drop("ps", "qs")
@@ -280,14 +303,14 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
     for turn in (large.where(diagonal), large.where(~diagonal)):
         now = turn.join(merged.select(F.col("id").alias("rep"), F.col("component_id").alias("c")), "rep", "left").select("bucket", "table", "rep", "n_shingles", "sig", F.coalesce("c", "rep").alias("comp"))
         parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        split = stash(parts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps"), "open-buckets")
-        rows_ = stash(now.join(split, "bucket").join(reps.select("rep", "n_shingles", "sig", "keys"), ["rep", "n_shingles", "sig"]), "open-rows")
+        split = stash(parts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("members")).where("comps > 1").drop("comps"), "open-buckets")
+        rows_ = stash(joined_by_size(now, split, ["bucket"], "members", in_buckets).join(reps.select("rep", "n_shingles", "sig", "keys"), ["rep", "n_shingles", "sig"]), "open-rows")
         some = stash(grouped(dealt(rows_, SCREEN_ROWS, 1 << 62)).transform(arrow, _open(percent), "bucket long, rep long, n_shingles long, sig binary").distinct(), "open-pairs")
         if some.isEmpty():
             drop_stash(rows_)
             continue
         wanted = dealt(rows_.join(some, ["bucket", "rep", "n_shingles", "sig"], "left_semi"), BLOCK_ROWS, BLOCK_SHINGLES)
-        dealt_ = grouped(wanted.join(sets.withColumnRenamed("doc_id", "rep"), "rep").where("octet_length(set) = 8 * n_shingles"))
+        dealt_ = grouped(wanted.drop("keys", "sig").join(sets.withColumnRenamed("doc_id", "rep"), "rep").where("octet_length(set) = 8 * n_shingles"))
         more = stash(dealt_.transform(arrow, _blocks(percent), "a long, b long"), "links")
         drop_stash(rows_)
         if not more.isEmpty():
@@ -310,18 +333,13 @@ def known_ids(rows: DataFrame) -> DataFrame:
 def classed(rows: DataFrame, label: DataFrame) -> DataFrame:
     """rows (doc_id, n_shingles, s1, s2) with component_id, the class's where it has other rows or links, else the row's own id.
 
-    Classes that hold a thousandth of all rows or more are at most a thousand: they are joined by broadcast, so
-    no task gathers the rows of a large group of copies.
+    Large groups of copies are joined by broadcast of their classes, so no task gathers one.
     """
     keys = ["s1", "s2", "n_shingles"]
     label = stash(label.where("rows > 1 OR component_id <> rep").select(*keys, "rows", "component_id"), "labels")
-    large = max(LARGE, rows.count() // 1000)
-    hot, cold = label.where(F.col("rows") > large), label.where(F.col("rows") <= large)
-    to_hot = F.broadcast(hot.select(*keys, "component_id"))  # at most 1,000 rows
     named, unnamed = rows.where("doc_id IS NOT NULL"), rows.where("doc_id IS NULL")
-    in_hot = named.join(to_hot, keys).select("doc_id", "n_shingles", "component_id")
-    rest = named.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.drop("rows"), keys, "left")
-    return in_hot.union(rest.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id"))).union(unnamed.select("doc_id", "n_shingles", F.col("doc_id")))
+    out = joined_by_size(named, label, keys, "rows", rows.count(), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.union(unnamed.select("doc_id", "n_shingles", F.col("doc_id")))
 
 
 def dedup(docs: DataFrame, percent: int = 85, k: int = SHINGLE) -> DataFrame:
