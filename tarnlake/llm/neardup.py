@@ -186,7 +186,7 @@ def _open(percent: int):
     def run(batches):
         for group, j, i in _likely(batches, percent):
             some = pa.array(np.union1d(i, j))
-            yield from group.select(["bucket", "rep", "n_shingles", "sig"]).take(some).to_batches()
+            yield from group.select(["bucket", "rep", "n_shingles", "comp", "main"]).take(some).to_batches()
 
     return run
 
@@ -302,15 +302,15 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
 
     for turn in (large.where(diagonal), large.where(~diagonal)):
         now = turn.join(merged.select(F.col("id").alias("rep"), F.col("component_id").alias("c")), "rep", "left").select("bucket", "table", "rep", "n_shingles", "sig", F.coalesce("c", "rep").alias("comp"))
+        now = stash(now, "bucket-components")
         parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
         split = stash(parts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("members")).where("comps > 1").drop("comps"), "open-buckets")
         rows_ = stash(joined_by_size(now, split, ["bucket"], "members", in_buckets).join(reps.select("rep", "n_shingles", "sig", "keys"), ["rep", "n_shingles", "sig"]), "open-rows")
-        some = stash(grouped(dealt(rows_, SCREEN_ROWS, 1 << 62)).transform(arrow, _open(percent), "bucket long, rep long, n_shingles long, sig binary").distinct(), "open-pairs")
+        some = stash(grouped(dealt(rows_, SCREEN_ROWS, 1 << 62)).transform(arrow, _open(percent), "bucket long, rep long, n_shingles long, comp long, main long").distinct(), "open-pairs")
         if some.isEmpty():
             drop_stash(rows_)
             continue
-        wanted = dealt(rows_.join(some, ["bucket", "rep", "n_shingles", "sig"], "left_semi"), BLOCK_ROWS, BLOCK_SHINGLES)
-        dealt_ = grouped(wanted.drop("keys", "sig").join(sets.withColumnRenamed("doc_id", "rep"), "rep").where("octet_length(set) = 8 * n_shingles"))
+        dealt_ = grouped(dealt(some, BLOCK_ROWS, BLOCK_SHINGLES).join(sets.withColumnRenamed("doc_id", "rep"), "rep").where("octet_length(set) = 8 * n_shingles"))
         more = stash(dealt_.transform(arrow, _blocks(percent), "a long, b long"), "links")
         drop_stash(rows_)
         if not more.isEmpty():
