@@ -144,7 +144,12 @@ def runs_of(batches, columns: list[str]):
 
 def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels (the smallest row of each component) after linking rows a with rows b."""
-    pairs = np.unique(np.stack([np.minimum(label[a], label[b]), np.maximum(label[a], label[b])]), axis=1)
+    p, q = label[a], label[b]
+    apart = p != q
+    if not apart.any():
+        return label
+    p, q = p[apart], q[apart]
+    pairs = np.unique(np.minimum(p, q) * len(label) + np.maximum(p, q))
     up = np.arange(len(label))
 
     def root(i):
@@ -153,9 +158,9 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             i = up[i]
         return i
 
-    for x, y in pairs.T[pairs[0] != pairs[1]].tolist():
-        x, y = sorted((root(x), root(y)))
-        up[y] = x
+    for pair in pairs.tolist():
+        x, y = map(root, divmod(pair, len(label)))
+        up[max(x, y)] = min(x, y)
     while (up[up] != up).any():
         up = up[up]
     return up[label]
@@ -178,17 +183,17 @@ def _compare(least: float, tables: int):
             norm = np.sqrt((x * x).sum(1))
             links, label = np.zeros(n, np.int64), np.arange(n)
             one_block = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-            order = np.argsort(block, kind="stable")
-            sides = [order] if one_block else np.split(order, [int((block == block[order[0]]).sum())])
+            sides = [np.arange(n)] if one_block else [np.flatnonzero(block == block[0]), np.flatnonzero(block != block[0])]
             tiles = [[side[k : k + TILE] for k in range(0, len(side), TILE)] for side in sides]
             for p, left in enumerate(tiles[0]):
                 for q, right in enumerate(tiles[-1]):
                     if one_block and q < p:
                         continue
-                    close = x[left] @ x[right].T / norm[right] / norm[left][:, None] >= least
+                    whole = one_block and n <= TILE
+                    u, v = (x, x) if whole else (x[left], x[right])
+                    a, b = np.nonzero(u @ v.T / (norm if whole else norm[right]) / (norm if whole else norm[left])[:, None] >= least)
                     if one_block and q == p:
-                        close = np.triu(close, 1)
-                    a, b = np.nonzero(close)
+                        a, b = a[b > a], b[b > a]
                     if not len(a):
                         continue
                     a, b = left[a], right[b]
@@ -203,6 +208,8 @@ def _compare(least: float, tables: int):
                     for u, v in ((a[first], b[first]), (b[first], a[first])):
                         links += np.bincount(u, size[v], n).astype(np.int64)
                     label = _joined(label, a, b)
+            if not links.any() and (label == np.arange(n)).all():
+                continue
             smallest = np.full(n, np.iinfo(np.int64).max)
             np.minimum.at(smallest, label, cid)
             lead = smallest[label]
