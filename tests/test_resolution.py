@@ -115,6 +115,20 @@ def test_most_alike_and_overlaps(spark):
         assert pairs == {(i, j, len(sets[i] & sets[j])) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= least}
 
 
+def test_overlaps_count_in_blocks(spark):
+    import random
+
+    r = random.Random(4)
+    sets = {i: {min(int(r.expovariate(0.15)), 40) for _ in range(r.randint(1, 25))} | set(range(50, 50 + i % 6)) for i in range(80)}
+    rows = spark.createDataFrame([(o, m) for o, ms in sets.items() for m in ms] + [(0, next(iter(sets[0]))), (None, 1), (1, None)], "o long, m long")
+    for least, often in ((1, 6), (3, 30), (6, 0), (6, 1000)):
+        true = {(i, j, len(sets[i] & sets[j])) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= least}
+        got = [(x["a"], x["b"], x["shared"]) for x in joins.overlaps(rows, "o", "m", least, 40, often).collect()]
+        assert len(got) == len(true) and set(got) == true
+    plan = joins.overlaps(rows, "o", "m", 3)._jdf.queryExecution().toString()
+    assert "Join" not in plan  # no set is sent along with a pair
+
+
 def test_registry_score_with_sequence(spark):
     row = spark.range(1).select(ladders.registry_score(F.lit(False), F.lit(True), F.lit(0.9), F.lit(1.0), F.lit(True), F.lit(True)).alias("x")).first()["x"]
     assert row["score"] == round(0.38 + 0.22 * 0.9 + 0.16 + 0.08 + 0.02, 4) and row["confidence"] == "review"
