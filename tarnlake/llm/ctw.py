@@ -115,6 +115,39 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
+class Places:
+    """Where each of some 64-bit keys is in their array: open addressing, at most half full. Of equal keys, any."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.shift, self.mask = keys, U(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32 if len(keys) < 1 << 31 else np.int64)
+        todo, at = np.arange(len(keys), dtype=self.slots.dtype), self._first(keys)
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]
+            on = self.slots[at] != todo
+            todo, at = todo[on], at[on] + 1 & self.mask
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * U(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each of these keys, which must all be there."""
+        at = self._first(keys)
+        out = self.slots[at]
+        open_ = np.flatnonzero(self.keys[out] != keys) if len(keys) else at
+        at = at[open_]
+        while len(open_):
+            if (out[open_] < 0).any():
+                raise KeyError("a key without an answer")
+            at = at + 1 & self.mask
+            out[open_] = self.slots[at]
+            on = self.keys[out[open_]] != keys[open_]
+            open_, at = open_[on], at[on]
+        return out
+
+
 def _asked(bits: int):
     """Per chunk and bucket (2**bits of words, then as many of grams) its distinct keys with how often training texts of the chunk have them."""
 
@@ -308,27 +341,24 @@ def _scores(bits: int, n_all: int, n_distinct: int):
     names = [c.split()[0] for c in _SCORES.split(", ")]
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 
-    def values(held: list) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Sorted keys and answers, of words and of grams; parts of one chunk and bucket may repeat keys."""
+    def values(held: list) -> list:
+        """Places of keys and their answers, of words and of grams; parts of one chunk and bucket may repeat keys."""
         out = []
         for kind in range(2):
             mine = [h for h in held if h[0] >> bits == kind]
             keys, got = (np.concatenate([m[k] for m in mine] or [np.zeros(0, t)]) for k, t in ((1, np.int64), (2, np.float64)))
-            if (keys[1:] < keys[:-1]).any():
-                order = np.argsort(keys, kind="stable")
-                keys, got = keys[order], got[order]
-            out.append((keys, got))
+            out += [Places(keys), got]
         return out
 
     def scored(piece, words_at, counts, grams_at, logs):
         buf, offs = texts(piece.column("text"))
         low = LOWER[buf]
         words, first = word_keys(low, offs)
-        count = counts[np.searchsorted(words_at, words)]
+        count = counts[words_at.of(words)]
         base = np.add.reduceat(np.log10(count + 1) - math.log10(n_all + n_distinct + 1), first[:-1])
         known = np.add.reduceat((count > 0).astype(np.int64), first[:-1])
         grams, start = gram_keys(low, offs)
-        total = np.add.reduceat(logs[np.searchsorted(grams_at, grams)], start[:-1])
+        total = np.add.reduceat(logs[grams_at.of(grams)], start[:-1])
         return _batch(names, types, [piece.column("doc_id"), piece.column("held_out"), np.diff(first), known, np.full(piece.num_rows, n_all), base, total, np.diff(offs)])
 
     def run(batches):
@@ -346,7 +376,7 @@ def _scores(bits: int, n_all: int, n_distinct: int):
                     held += [(k, _unpack(x.as_py(), np.int64, True), _unpack(y.as_py(), np.float64)) for k, x, y in zip(part.column("bucket").to_pylist(), part.column("keys"), part.column("answers"), strict=True)]
                     continue
                 if ready is None:
-                    ready, held = [v for pair in values(held) for v in pair], []
+                    ready, held = values(held), []
                 for piece in pieces(part):
                     yield scored(piece, *ready)
 

@@ -580,3 +580,15 @@ def test_neardup_pairs_in_a_loose_family(spark, parts):
     alike = [(2 * i, 2 * i + 1) for i in range(400) if 100 * len(s[2 * i] & s[2 * i + 1]) >= 85 * len(s[2 * i] | s[2 * i + 1])]
     got = {x["doc_id"]: x["component_id"] for x in neardup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
     assert len(alike) > 250 and [p for p in alike if got[p[0]] != got[p[1]]] == []
+
+
+def test_ctw_places_of_keys():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 7, 5000):
+        keys = np.unique(r.integers(-(2**62), 2**62, n))
+        keys = np.concatenate([keys, keys[:3]])  # as parts of one chunk may repeat them
+        asked = keys[r.integers(0, len(keys), 3 * n)] if n else keys
+        places = ctw.Places(keys)
+        assert (keys[places.of(asked)] == asked).all() and places.slots.size <= max(16, 4 * len(keys))
+    with pytest.raises(KeyError):
+        places.of(np.array([2**62 + 1]))
