@@ -21,9 +21,12 @@ are kept; text is never cut.
 
 from __future__ import annotations
 
+import array
 import base64
+import collections
 import hashlib
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +34,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tarnlake.llm.common import PIECE_BYTES, arrow, table
+from tarnlake.llm.common import PIECE_BYTES, arrow, give_back, table
 from tarnlake.llm.textscan import pieces
 
 LONG = 64
 #: Pre-tokens remembered by a worker; beyond it the memory is emptied.
 REMEMBER = 250_000
 #: Pre-tokens that are merged in one queue at a time.
-TOGETHER = 60_000
+TOGETHER = 20_000
 
 
 class RankQueue:
@@ -100,7 +103,7 @@ class Encoder:
         # An open-addressed table of the pairs: one or two array look-ups find most of them.
         self.keys, self.values = keys[order], np.fromiter(self.pair.values(), np.int64, len(self.pair))[order]
         self._table()
-        self.known: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
+        self.forget()
 
     def _table(self) -> None:
         self.bits = max(4, int(len(self.keys) * 4).bit_length())
@@ -174,7 +177,7 @@ class Encoder:
         return [p for p in part if p >= 0]
 
     def many(self, tokens: list[bytes]) -> list[bytes]:
-        """The ids (as in `known`) of each of several short pre-tokens, by one queue."""
+        """The ids (as in `ids`) of each of several short pre-tokens, by one queue."""
         size = np.fromiter(map(len, tokens), np.int64, len(tokens))
         part = self.byte_id[np.frombuffer(b"".join(tokens), np.uint8)]
         n = len(part)
@@ -232,31 +235,36 @@ class Encoder:
         ends = [0, *(4 * np.cumsum(np.bincount(owner[alive], minlength=len(tokens)))).tolist()]
         return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
-    def learn(self, tokens: set[str]) -> None:
-        """Makes sure that the pre-tokens are in `known`."""
-        new = [t for t in tokens if t not in self.known]
-        if len(self.known) + len(new) > REMEMBER:
-            self.known.clear()
-            new = list(tokens)
-        short = []
-        for t in new:
+    def _learn(self) -> None:
+        """Adds the ids of the pre-tokens numbered since the last call."""
+        at, short = len(self.ids), []
+        for t in itertools.islice(self.number, at, None):
             b = t.encode()
             if len(b) > LONG:
-                self.known[t] = np.array(self.one(b), "<u4").tobytes()
+                self.ids.append(np.array(self.one(b), "<u4").tobytes())
             else:
-                short.append((t, b))
+                short.append((len(self.ids), b))
+                self.ids.append(b"")
         for k in range(0, len(short), TOGETHER):
             part = short[k : k + TOGETHER]
-            for (t, _), ids in zip(part, self.many([b for _, b in part]), strict=True):
-                self.known[t] = ids
+            for (i, _), ids in zip(part, self.many([b for _, b in part]), strict=True):
+                self.ids[i] = ids
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
-        found = [self.split(t) if t else [] for t in texts]
-        self.learn(set().union(*found))
-        get = self.known.__getitem__
+        if len(self.ids) > REMEMBER:
+            self.forget()
+        number = self.number.__getitem__
+        found = [array.array("i", map(number, self.split(t) if t else [])) for t in texts]  # the pre-tokens of one text at a time
+        self._learn()
+        get = self.ids.__getitem__
         return [np.frombuffer(b"".join(map(get, f)), "<u4") for f in found]
 
+    def forget(self) -> None:
+        """Empties the memory of pre-tokens."""
+        self.number: dict[str, int] = collections.defaultdict(itertools.count().__next__)  # in order of the numbers
+        self.ids: list[bytes] = []  # by number; ids as little-endian unsigned 32-bit integers
+
     def decode(self, ids: np.ndarray) -> bytes:
         tokens = self.tokens
         return b"".join([tokens[i] for i in ids.tolist()])
@@ -309,6 +317,7 @@ def _coded(docs: DataFrame, ranks_path: str, pattern: str, added: list[str], col
                 ids = coder.encode(piece.column("text").to_pylist())
                 raw = [coder.decode(i) for i in ids]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), *columns(ids, raw)], names=[*kept, *names])
+                give_back()
 
     schema = T.StructType([docs.schema[c] for c in kept] + list(T._parse_datatype_string(", ".join(added)).fields))
     return docs.select(*(f"`{c}`" for c in kept), "text").transform(arrow, run, schema)

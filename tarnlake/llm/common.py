@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tarnlake.operators.graph import components
 from tarnlake.operators.storage import drop_stash, shared_dir, stash
 
-__all__ = ["PIECE_BYTES", "arrow", "components", "crc_mod", "drop_stash", "joined_by_size", "shared_dir", "stash", "table"]
+__all__ = ["PIECE_BYTES", "arrow", "components", "crc_mod", "drop_stash", "give_back", "joined_by_size", "shared_dir", "stash", "table"]
 
 #: Text columns are cut into pieces of about so many bytes before numpy sees them.
 PIECE_BYTES = 1 << 20
@@ -43,7 +43,7 @@ def joined_by_size(rows: DataFrame, sizes: DataFrame, keys: list[str], n: str, t
     return rows.join(F.broadcast(hot), keys).unionByName(rest)  # at most 1,000 rows, or total / 64
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system, so that idle Python workers stay small beside the executor's heap."""
     pa.default_memory_pool().release_unused()
     try:
@@ -57,6 +57,6 @@ def arrow(df: DataFrame, run, schema) -> DataFrame:
 
     def tidied(batches):
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return df.mapInArrow(tidied, schema)

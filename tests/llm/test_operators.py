@@ -592,3 +592,12 @@ def test_ctw_places_of_keys():
         assert (keys[places.of(asked)] == asked).all() and places.slots.size <= max(16, 4 * len(keys))
     with pytest.raises(KeyError):
         places.of(np.array([2**62 + 1]))
+
+
+def test_bpe_numbers_pre_tokens_and_forgets(monkeypatch):
+    coder = bpe.Encoder({bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257}, r"\w+|\W+")
+    monkeypatch.setattr(bpe, "REMEMBER", 2)
+    for texts in (["abc ab abc", None, "abcab"], ["xab " + "ab" * 40], ["abc"]):
+        assert [coder.decode(i).decode() for i in coder.encode(texts)] == [t or "" for t in texts]
+        assert len(coder.ids) == len(coder.number)
+    assert list(coder.number) == ["abc"]  # emptied before
