@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.operators.graph import components
-from tarnlake.operators.storage import drop_stash, shared_dir, stash
+from tarnlake.operators.storage import drop_stash, shared_dir, side, stash
 
-__all__ = ["PIECE_BYTES", "arrow", "components", "crc_mod", "drop_stash", "give_back", "joined_by_size", "shared_dir", "stash", "table"]
+__all__ = ["PIECE_BYTES", "arrow", "components", "crc_mod", "drop_stash", "give_back", "joined_by_size", "shared_dir", "side", "stash", "table"]
 
 #: Text columns are cut into pieces of about so many bytes before numpy sees them.
 PIECE_BYTES = 1 << 20
@@ -35,11 +35,11 @@ def joined_by_size(rows: DataFrame, sizes: DataFrame, keys: list[str], n: str, t
     """rows joined with sizes (one row per key; n: how many of rows have it) on keys, n left out.
 
     Keys that hold a thousandth of all rows or more are at most a thousand: those are joined by broadcast, so no task gathers
-    the rows of a frequent key. rows is read twice. how: inner, or left for rows whose key sizes lacks.
+    the rows of a frequent key; all others are merged. rows is read twice. how: inner, or left for rows whose key sizes lacks.
     """
     large = max(LARGE, total // 1000)
     hot, cold = sizes.where(F.col(n) > large).drop(n), sizes.where(F.col(n) <= large).drop(n)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys, how)
     return rows.join(F.broadcast(hot), keys).unionByName(rest)  # at most 1,000 rows, or total / 64
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import arrow, components, drop_stash, joined_by_size, stash, table
+from tarnlake.llm.common import arrow, components, drop_stash, joined_by_size, side, stash, table
 from tarnlake.llm.lattice import runs_of
 from tarnlake.llm.textscan import LOWER, Runs, U, Words, distinct_per_text, mix, pieces, texts
 
@@ -252,29 +252,33 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
     same = stash(real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "equal-sets")
     first = same.select(*(F.col(c).alias(f"_{c}") for c in ("s1", "s2", "n_shingles", "rep")))
     is_first = (F.col("doc_id") == F.col("_rep")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n_shingles") == F.col("_n_shingles"))
-    reps = stash(real.join(first, is_first).dropDuplicates(["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("rep"), "n_shingles", "keys", "sig"), "classes")
+    reps = stash(real.join(side(first), is_first).dropDuplicates(["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("rep"), "n_shingles", "keys", "sig"), "classes")
     # Ids that more than one set has (an empty one counts) are vertices beside the classes' own smallest ids.
     several = known_ids(rows)
-    own = real.join(several, "doc_id").select("doc_id", "s1", "s2", "n_shingles").distinct().join(same, ["s1", "s2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    n_several = several.count()
+    own = real.join(side(several, n_several), "doc_id").select("doc_id", "s1", "s2", "n_shingles").distinct().join(side(same), ["s1", "s2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     own = stash(own, "ids-of-several")
     # Band keys that more than one class has, and their combinations.
+    n_reps = reps.count()
     bands = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    mine = bands.join(shared, "key").groupBy("rep").agg(F.collect_list(F.when(F.col("band") < TABLES, F.struct("key", "band"))).alias("one"), F.collect_list(F.when(F.col("band") >= TABLES, F.struct("key", "band"))).alias("two"))
-    mine = mine.where("size(one) > 0 AND size(two) > 0").join(reps.select("rep", "n_shingles", "sig"), "rep")
+    mine = bands.join(side(shared, n_reps * TABLES), "key").groupBy("rep").agg(F.collect_list(F.when(F.col("band") < TABLES, F.struct("key", "band"))).alias("one"), F.collect_list(F.when(F.col("band") >= TABLES, F.struct("key", "band"))).alias("two"))
+    mine = mine.where("size(one) > 0 AND size(two) > 0").join(side(reps.select("rep", "n_shingles", "sig"), n_reps), "rep")
     met = mine.withColumn("one", F.explode("one")).withColumn("two", F.explode("two")).select("rep", "n_shingles", "sig", F.xxhash64("one.key", "two.key").alias("bucket"), (F.col("one.band") * TABLES + F.col("two.band") - TABLES).alias("table"))
     sizes = stash(met.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("least")).where("members > 1"), "bucket-sizes")
     # One row for each class and bucket that it shares; as sizes is a table of its own, Spark can split a hot bucket in the join.
-    in_bucket = stash(met.join(sizes, "bucket"), "buckets")
+    in_bucket = stash(met.join(side(sizes), "bucket"), "buckets")
     alike = stash(in_bucket.select("rep", "n_shingles", "sig").distinct(), "alike")
-    sets = stash(known.join(alike.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").transform(arrow, _sets(k), "doc_id long, set binary").dropDuplicates(["doc_id", "set"]), "sets")
+    n_alike = alike.count()
+    sets = stash(known.join(side(alike.select(F.col("rep").alias("doc_id")).distinct(), n_alike), "doc_id").transform(arrow, _sets(k), "doc_id long, set binary").dropDuplicates(["doc_id", "set"]), "sets")
 
     def likely(pairs: DataFrame) -> DataFrame:
-        sides = {s: alike.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}")) for s in "ab"}
+        sides = {s: side(alike.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}")), n_alike) for s in "ab"}
         return pairs.where("a < b").distinct().join(sides["a"], "a").join(sides["b"], "b").transform(arrow, _alike(percent), "a long, b long")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set": "set_b"}), "b")
+        each = {s: sets.withColumnsRenamed({"doc_id": s, "set": f"set_{s}"}).hint("merge") for s in "ab"}  # sets have no bound
+        full = pairs.join(each["a"], "a").join(each["b"], "b")
         return full.select("a", "b", "set_a", "set_b").transform(arrow, _confirmed(percent), "a long, b long")
 
     star = in_bucket.where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b"))
@@ -301,26 +305,27 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
         return rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
 
     for turn in (large.where(diagonal), large.where(~diagonal)):
-        now = turn.join(merged.select(F.col("id").alias("rep"), F.col("component_id").alias("c")), "rep", "left").select("bucket", "table", "rep", "n_shingles", "sig", F.coalesce("c", "rep").alias("comp"))
+        now = turn.join(side(merged.select(F.col("id").alias("rep"), F.col("component_id").alias("c"))), "rep", "left").select("bucket", "table", "rep", "n_shingles", "sig", F.coalesce("c", "rep").alias("comp"))
         now = stash(now, "bucket-components")
         parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
         split = stash(parts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("members")).where("comps > 1").drop("comps"), "open-buckets")
-        rows_ = stash(joined_by_size(now, split, ["bucket"], "members", in_buckets).join(reps.select("rep", "n_shingles", "sig", "keys"), ["rep", "n_shingles", "sig"]), "open-rows")
+        rows_ = stash(joined_by_size(now, split, ["bucket"], "members", in_buckets).join(reps.select("rep", "n_shingles", "sig", "keys").hint("merge"), ["rep", "n_shingles", "sig"]), "open-rows")
         some = stash(grouped(dealt(rows_, SCREEN_ROWS, 1 << 62)).transform(arrow, _open(percent), "bucket long, rep long, n_shingles long, comp long, main long").distinct(), "open-pairs")
         if some.isEmpty():
             drop_stash(rows_)
             continue
-        dealt_ = grouped(dealt(some, BLOCK_ROWS, BLOCK_SHINGLES).join(sets.withColumnRenamed("doc_id", "rep"), "rep").where("octet_length(set) = 8 * n_shingles"))
+        dealt_ = grouped(dealt(some, BLOCK_ROWS, BLOCK_SHINGLES).join(sets.withColumnRenamed("doc_id", "rep").hint("merge"), "rep").where("octet_length(set) = 8 * n_shingles"))
         more = stash(dealt_.transform(arrow, _blocks(percent), "a long, b long"), "links")
         drop_stash(rows_)
         if not more.isEmpty():
             merged = stash(components(merged.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more), "near-components"), "near-merged")
     for done in (in_bucket, alike, sets):
         drop_stash(done)
-    label = same.join(merged.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n_shingles", "rep", "rows", F.coalesce("component_id", "rep").alias("component_id"))
+    label = same.join(side(merged.withColumnRenamed("id", "rep")), "rep", "left").select("s1", "s2", "n_shingles", "rep", "rows", F.coalesce("component_id", "rep").alias("component_id"))
     out = classed(rows.select("doc_id", "n_shingles", "s1", "s2"), label)
-    if not several.isEmpty():
-        out = out.join(own.select(F.col("a").alias("doc_id")).distinct().join(merged.select(F.col("id").alias("doc_id"), F.col("component_id").alias("_own")), "doc_id"), "doc_id", "left")
+    if n_several:
+        theirs = side(own.select(F.col("a").alias("doc_id")).distinct(), n_several)
+        out = out.join(side(merged.select(F.col("id").alias("doc_id"), F.col("component_id").alias("_own")).join(theirs, "doc_id"), n_several), "doc_id", "left")
         out = out.withColumn("component_id", F.coalesce("_own", "component_id"))
     return out.select("doc_id", "n_shingles", "component_id")
 

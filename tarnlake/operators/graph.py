@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.operators.storage import drop_stash, stash
+from tarnlake.operators.storage import drop_stash, side, stash
 
 
 def components(edges: DataFrame, label: str, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,11 +25,11 @@ def components(edges: DataFrame, label: str, a: str = "a", b: str = "b") -> Data
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: every larger neighbour of u is linked to u's smallest neighbour.
-        large = now.join(least.withColumnRenamed("u", "k"), F.col("v") == F.col("k")).select("u", F.col("m").alias("v"))
+        large = now.join(side(least.withColumnRenamed("u", "k"), 2 * n), F.col("v") == F.col("k")).select("u", F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # Small star: u and its smaller neighbours are linked to the smallest of them.
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m")))
+        small = large.join(side(small_least, n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m")))
         after = stash(small.toDF("u", "v").where("u <> v").distinct(), label)
         drop_stash(now)
         now = after

@@ -308,6 +308,29 @@ def test_neardup_hub_of_large_id(spark, monkeypatch, block):
     assert {x["doc_id"]: x["component_id"] for x in got} == want
 
 
+def test_neardup_sends_only_what_is_counted(spark, monkeypatch):
+    """Spark takes the exploded band keys, and tables that compress well, for small ones: nothing may be sent to all by its guess."""
+    from tarnlake.operators import storage
+
+    plans = collections.defaultdict(list)
+
+    def seen(df, label):
+        plans[label].append(df._jdf.queryExecution().executedPlan().toString())
+        return storage.stash(df, label)
+
+    monkeypatch.setattr(neardup, "stash", seen)
+    monkeypatch.setattr(storage, "SENT_ROWS", -1, raising=False)
+    monkeypatch.setattr(storage, "SENT_IDS", -1, raising=False)
+    r = random.Random(6)
+    base = [prose(60, r) for _ in range(12)]
+    rows = [(20 * k + i, base[k] + f" end{i // 2}") for k in range(12) for i in range(5 + k)]
+    s = {i: sets(t) for i, t in rows}
+    want = linked(sorted(s), lambda i, j: 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j]))
+    got = neardup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert "BroadcastExchange" not in "".join(p for k in ("classes", "ids-of-several", "bucket-sizes", "buckets", "alike", "sets", "bucket-components") for p in plans[k]) + plans["links"][0]
+    assert plans["links"] and plans["bucket-components"] and {x["doc_id"]: x["component_id"] for x in got} == want
+
+
 def test_neardup_signatures_of_long_texts_differ(spark):
     """The minima of long texts are all small numbers; the signature must tell them apart."""
     r = random.Random(3)
