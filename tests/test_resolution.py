@@ -129,6 +129,14 @@ def test_overlaps_count_in_blocks(spark):
     assert "Join" not in plan  # no set is sent along with a pair
 
 
+def test_overlaps_count_nan_as_a_value(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame([(o, m) for o in (1.0, 2.0, nan) for m in (3.0, nan, nan)] + [(None, 3.0), (5.0, None)], "o double, m double")
+    for often in (0, 1000):
+        got = sorted((str(x["a"]), str(x["b"]), x["shared"]) for x in joins.overlaps(rows, "o", "m", 2, often=often).collect())
+        assert got == [("1.0", "2.0", 2), ("1.0", "nan", 2), ("2.0", "nan", 2)]
+
+
 def test_registry_score_with_sequence(spark):
     row = spark.range(1).select(ladders.registry_score(F.lit(False), F.lit(True), F.lit(0.9), F.lit(1.0), F.lit(True), F.lit(True)).alias("x")).first()["x"]
     assert row["score"] == round(0.38 + 0.22 * 0.9 + 0.16 + 0.08 + 0.02, 4) and row["confidence"] == "review"
